@@ -27,11 +27,11 @@ from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .tables import read, small_batches
+from .tables import read, small_batches, texts_of
 from .words import Memo
 
 #: States that are kept at once.
@@ -365,38 +365,42 @@ def codec(path: str, pattern: str) -> ByteBpe:
 
 def encode_texts(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, ids) of each whole text."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path, pattern)
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "ids": [x.tolist() for x in bpe.encode_texts([x or "" for x in b["text"]])]})
+            ids = pa.array([x.tolist() for x in bpe.encode_texts(texts_of(b))], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([b["doc_id"], ids], ["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode_ids(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, text) of (doc_id, ids)."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(doc_id, text) of (doc_id, ids); null ids decode to the empty text."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path, pattern)
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "text": ["".join(bpe.decode_stream(x[k : k + DECODE_IDS] for k in range(0, len(x), DECODE_IDS))) for x in map(list, b["ids"])]})
+            texts = ["".join(bpe.decode_stream(x[k : k + DECODE_IDS] for k in range(0, len(x), DECODE_IDS))) for x in (y or [] for y in b["ids"].to_pylist())]
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.mapInPandas(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Digests of each text's ids and of what the ids decode to, made in one pass."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path, pattern)
         for b in batches:
-            rows = []
-            for ids in bpe.encode_texts([x or "" for x in b["text"]]):
-                decoded = hashlib.sha256()
+            counts, encoded, decoded = [], [], []
+            for ids in bpe.encode_texts(texts_of(b)):
+                digest = hashlib.sha256()
                 for part in bpe.decode_stream(ids[k : k + DECODE_IDS] for k in range(0, len(ids), DECODE_IDS)):
-                    decoded.update(part.encode())
-                rows.append((len(ids), hashlib.sha256(bpe.line(ids).encode()).hexdigest(), decoded.hexdigest()))
-            yield pd.concat([b[["doc_id"]].reset_index(drop=True), pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])], axis=1)
+                    digest.update(part.encode())
+                counts.append(len(ids))
+                encoded.append(hashlib.sha256(bpe.line(ids).encode()).hexdigest())
+                decoded.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(counts, pa.int64()), pa.array(encoded, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,10 +22,10 @@ import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .tables import read, small_batches
+from .tables import read, small_batches, texts_of
 
 #: Bytes of a sample, samples of a chunk, and samples from one keyframe to the next.
 UNIT, CHUNK_SAMPLES, KEYFRAME_EVERY = 64, 64, 256
@@ -175,31 +175,36 @@ def payload_of(data: bytes) -> bytes:
     return b"".join(data[a:b] for a, b in spans)
 
 
-def _mux_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _mux_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        raw = [(x or "").encode() for x in b["text"]]
-        yield pd.DataFrame({"doc_id": b["doc_id"], "n_bytes": [len(x) for x in raw], "media": [mux(padded(x)) for x in raw]})
+        raw = [x.encode() for x in texts_of(b)]
+        yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(map(len, raw), pa.int64()), pa.array([mux(padded(x)) for x in raw], pa.binary())], ["doc_id", "n_bytes", "media"])
 
 
 def mux_texts(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, media): each whole text as a media file."""
-    return docs.select("doc_id", "text").mapInPandas(_mux_batches, "doc_id long, n_bytes long, media binary")
+    return docs.select("doc_id", "text").mapInArrow(_mux_batches, "doc_id long, n_bytes long, media binary")
 
 
-def _probe_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+PROBED = {
+    "codec": pa.string(), "timescale": pa.int64(), "duration": pa.int64(), "keyframes": pa.list_(pa.list_(pa.int64())), "payload_bytes": pa.int64(), "payload_sha256": pa.string(),
+    "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string(),
+}
+
+
+def _probe_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = []
-        for media in b["media"]:
-            media = bytes(media)
+        for media in b["media"].to_pylist():
             info, payload = probe(media), payload_of(media)
             rows.append((info["codec"], info["timescale"], info["duration"], info["keyframes"], len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), json.dumps(info, separators=(",", ":"))))
-        out = pd.DataFrame(rows, columns=["codec", "timescale", "duration", "keyframes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-        yield pd.concat([b[["doc_id", "n_bytes"]].reset_index(drop=True), out], axis=1)
+        columns = [pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * len(PROBED), PROBED.values())]
+        yield pa.RecordBatch.from_arrays([b["doc_id"], b["n_bytes"], *columns], ["doc_id", "n_bytes", *PROBED])
 
 
 def probe_media(media: DataFrame) -> DataFrame:
     """The columns of media files (doc_id, n_bytes, media), without the files."""
-    return media.mapInPandas(_probe_batches, "doc_id long, n_bytes long, codec string, timescale long, duration long, keyframes array<array<long>>, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(_probe_batches, "doc_id long, n_bytes long, codec string, timescale long, duration long, keyframes array<array<long>>, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

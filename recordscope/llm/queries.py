@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op7_byte_bpe
 from .media import op3_media_columns
+from .packing import op4_best_fit_packing
 from .sharding import op8_sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_media_columns, op7_byte_bpe, op8_sharding)}
+    return {f.__name__: f for f in (op3_media_columns, op4_best_fit_packing, op7_byte_bpe, op8_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:

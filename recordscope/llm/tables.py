@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows per Arrow batch for columns of whole texts, some of which are long.
@@ -15,3 +16,8 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def small_batches(spark: SparkSession) -> None:
     """Whole texts travel to Python workers in small batches, which bounds their memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
+def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
+    """The batch's texts; null is the empty text."""
+    return [x or "" for x in batch[column].to_pylist()]
