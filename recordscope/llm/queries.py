@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op7_byte_bpe
 from .media import op3_media_columns
 from .packing import op4_best_fit_packing
+from .secrets import OP6_SQL, op6_secret_scans
 from .sharding import op8_sharding
+from .warc import OP10_SQL, op10_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_media_columns, op4_best_fit_packing, op7_byte_bpe, op8_sharding)}
+    return {f.__name__: f for f in (op3_media_columns, op4_best_fit_packing, op6_secret_scans, op7_byte_bpe, op8_sharding, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_secret_scans": OP6_SQL, "op10_warc": OP10_SQL}
