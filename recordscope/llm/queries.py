@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann import op5_nearest_neighbours
 from .bpe import op7_byte_bpe
+from .html_text import op9_html_extraction
 from .media import op3_media_columns
 from .packing import op4_best_fit_packing
 from .secrets import OP6_SQL, op6_secret_scans
@@ -15,7 +17,7 @@ from .warc import OP10_SQL, op10_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_media_columns, op4_best_fit_packing, op6_secret_scans, op7_byte_bpe, op8_sharding, op10_warc)}
+    return {f.__name__: f for f in (op3_media_columns, op4_best_fit_packing, op5_nearest_neighbours, op6_secret_scans, op7_byte_bpe, op8_sharding, op9_html_extraction, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
