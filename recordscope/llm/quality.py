@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .tables import read, small_batches, texts_of
 
@@ -33,6 +34,8 @@ from .tables import read, small_batches, texts_of
 SAMPLE_A_CLASS = 1_500
 BUCKETS, DIMENSION, EPOCHS, RATE = 1 << 18, 12, 6, 0.4
 SHORTEST, LONGEST = 3, 4
+#: A word that repeats the one before counts as one shared word bigram, at the weight of a word of four letters.
+SAME, SAME_WEIGHT = zlib.crc32(b"same") % BUCKETS, 8
 #: predicted is 1 from this score on.
 THRESHOLD = 0.3
 #: Words that a worker remembers.
@@ -49,10 +52,18 @@ def features(word: str) -> list[int]:
     return out
 
 
+def fresh_words(text: str) -> tuple[list[str], int]:
+    """The words that differ from the one before, and how many don't."""
+    words = text.split()
+    fresh = [w for w, before in zip(words, ["", *words]) if w != before]
+    return fresh, len(words) - len(fresh)
+
+
 def count_features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Table rows of a text and the share of each."""
-    rows, counts = [], []
-    for word, n in Counter(text.split()).items():
+    fresh, again = fresh_words(text)
+    rows, counts = ([SAME], [again * SAME_WEIGHT]) if again else ([], [])
+    for word, n in Counter(fresh).items():
         own = features(word)
         rows += own
         counts += [n] * len(own)
@@ -116,15 +127,15 @@ class Scorer:
         return value
 
     def logit(self, text: str) -> float:
-        words, get = text.split(), self.kept.get
-        if not words:
+        fresh, again = fresh_words(text)
+        if not fresh:
             return self.model.bias
-        total = 0.0
-        for w in words:
+        get, total = self.kept.get, again * SAME_WEIGHT * float(self.model.weights[SAME])
+        for w in fresh:
             value = get(w)
             total += self.word(w) if value is None else value
         # A word of n characters has itself, n trigrams and n - 1 four-grams.
-        return total / (2 * sum(map(len, words))) + self.model.bias
+        return total / (2 * sum(map(len, fresh)) + again * SAME_WEIGHT) + self.model.bias
 
 
 _SCORERS: dict[int, Scorer] = {}
@@ -164,8 +175,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(1 / (1 + np.exp(-z)), pa.float64())], [*b.schema.names, "score"])
 
     plain = docs.drop("score")
-    schema = plain.schema.add("score", "double")
-    return plain.mapInArrow(run, schema)
+    return plain.mapInArrow(run, T.StructType([*plain.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
