@@ -109,8 +109,8 @@ def ledger_findings(ledger: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return merged.select("blob", ordered.alias("found"))
 
 
-def find_secrets(docs: DataFrame, rules: Sequence[Rule] = RULES, ledger_path: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, blob, found) for every path; the ledger at ledger_path gets the pairs that it had not."""
+def find_secrets(docs: DataFrame, rules: Sequence[Rule] = RULES, ledger_path: str | None = None, key: str = "doc_id", text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """(key, blob, found) and the columns in ``keep`` for every path; the ledger at ledger_path gets the pairs that it had not."""
     spark = docs.sparkSession
     ledger = None
     if ledger_path is None:
@@ -123,12 +123,24 @@ def find_secrets(docs: DataFrame, rules: Sequence[Rule] = RULES, ledger_path: st
                 raise
     scan_unseen(docs, text, ledger, rules).write.mode("append").parquet(ledger_path)
     findings = ledger_findings(spark.read.parquet(ledger_path), rules)
-    paths = docs.select(F.col(key), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("blob"))
+    paths = docs.select(F.col(key), *keep, F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("blob"))
     counted = materialize(paths.groupBy("blob").agg(F.count("*").alias("paths")).where(F.col("paths") > 1), "counts")
     hot = hot_keys(counted, "blob", "paths", docs.count())
     return salted_lookup(paths, findings, "blob", hot, F.xxhash64(F.col(key)), "left").withColumn("found", F.coalesce("found", F.array().cast("array<struct<start:int,rank:int,end:int,rule:string>>")))
 
 
+def redact(text: Column, found: Column, sign: str = "[SECRET]") -> Column:
+    """The text with each run of findings that overlap replaced by a sign."""
+    def step(done: Column, x: Column) -> Column:
+        apart = x["start"] >= done["at"]
+        gap = F.substring(text, done["at"] + 1, x["start"] - done["at"])
+        return F.struct(F.greatest(done["at"], x["end"]).alias("at"), F.when(apart, F.concat(done["out"], gap, F.lit(sign))).otherwise(done["out"]).alias("out"))
+
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    replaced = F.aggregate(found, zero, step, lambda done: F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
+    return F.when(F.size(found) > 0, replaced).otherwise(text)
+
+
 def _line(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda x: F.concat_ws(":", x["rule"], x["start"], x["end"])), ",")
 
