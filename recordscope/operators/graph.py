@@ -44,3 +44,154 @@ def min_labels(edges: DataFrame, src: str = "src", dst: str = "dst", nodes: Data
             return lower.select("node", "label")
         hop = lower.select(F.col("node").alias("new"), F.col("new").alias("hop")).where("new <> hop")
         labels = materialize(lower.select("node", "new").join(hop, "new", "left").select("node", F.least("new", F.coalesce("hop", "new")).alias("label")), "labels")
+
+
+#: Edges that carry data; ALIAS edges do not.
+FLOW = ("CALL", "RETURN", "DATAFLOW")
+
+
+def flow_edges(edges: DataFrame, kind: str = "edge_type") -> DataFrame:
+    return edges.where(F.col(kind).isin(*FLOW))
+
+
+def without_edges(edges: DataFrame, evil: DataFrame) -> DataFrame:
+    """edges without those of evil (src, dst)."""
+    return edges.join(evil.select("src", "dst").distinct(), ["src", "dst"], "left_anti")
+
+
+def without_nodes(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """edges without those at a node of nodes (node)."""
+    gone = nodes.select("node").distinct()
+    return edges.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select(*edges.columns)
+
+
+def degrees(edges: DataFrame) -> DataFrame:
+    """(node, n_in, n_out)."""
+    ends = edges.select(F.col("src").alias("node"), F.lit(0).alias("i"), F.lit(1).alias("o")).unionByName(edges.select(F.col("dst").alias("node"), F.lit(1).alias("i"), F.lit(0).alias("o")))
+    return ends.groupBy("node").agg(F.sum("i").alias("n_in"), F.sum("o").alias("n_out"))
+
+
+def sources_and_sinks(edges: DataFrame) -> DataFrame:
+    """(node, role): source without in-edges, sink without out-edges."""
+    return degrees(edges).where("n_in = 0 OR n_out = 0").select("node", F.when(F.col("n_in") == 0, "source").otherwise("sink").alias("role"))
+
+
+def reach(edges: DataFrame, seeds: DataFrame, forward: bool = True, depth: int | None = None) -> DataFrame:
+    """(seed, node, depth): all nodes reached from each seed (itself at 0) and the least number of steps.
+
+    One frontier join a round against the visited set; a round's result is
+    written, so the plan does not grow.
+    """
+    a, b = ("src", "dst") if forward else ("dst", "src")
+    step = materialize(edges.select(F.col(a).alias("node"), F.col(b).alias("to")).distinct(), "steps")
+    front = materialize(seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("depth")).distinct(), "front")
+    visited, k = [front], 0
+    while depth is None or k < depth:
+        k += 1
+        found = front.join(step, "node").select("seed", F.col("to").alias("node")).distinct()
+        seen = visited[0].select("seed", "node")
+        for v in visited[1:]:
+            seen = seen.unionByName(v.select("seed", "node"))
+        front = materialize(found.join(seen, ["seed", "node"], "left_anti").withColumn("depth", F.lit(k)), "front")
+        if front.isEmpty():
+            break
+        visited.append(front)
+    out = visited[0]
+    for v in visited[1:]:
+        out = out.unionByName(v)
+    return out
+
+
+def path_exists(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Adds has_path to pairs (src, dst): a directed path, or src = dst."""
+    hit = reach(edges, pairs.select(F.col("src").alias("node")).distinct()).select(F.col("seed").alias("src"), F.col("node").alias("dst"), F.lit(True).alias("_hit"))
+    return pairs.join(hit, ["src", "dst"], "left").select(*pairs.columns, F.coalesce("_hit", F.lit(False)).alias("has_path"))
+
+
+def shortest_paths(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(seed, node, depth, parent): undirected breadth-first trees; of several parents the smallest."""
+    near = materialize(both_ways(edges, "src", "dst"), "near")
+    found = materialize(reach(near.select(F.col("u").alias("src"), F.col("v").alias("dst")), seeds), "reached")
+    before = found.select("seed", F.col("node").alias("u"), (F.col("depth") + 1).alias("depth"))
+    parents = before.join(near, "u").select("seed", F.col("v").alias("node"), "depth", "u")
+    return found.join(parents, ["seed", "node", "depth"], "left").groupBy("seed", "node", "depth").agg(F.min("u").alias("parent"))
+
+
+def backtrack(tree: DataFrame, ends: DataFrame) -> DataFrame:
+    """(seed, node, path): the nodes from the seed to each end (seed, node)."""
+    tree = materialize(tree, "tree")
+    at = materialize(ends.join(tree, ["seed", "node"]).select("seed", F.col("node").alias("end"), F.col("parent").alias("at"), F.array("node").alias("path")), "trail")
+    while not at.where("at IS NOT NULL").isEmpty():
+        up = tree.select("seed", F.col("node").alias("at"), F.col("parent").alias("up"))
+        moved = at.join(up, ["seed", "at"], "left")
+        at = materialize(moved.select("seed", "end", F.col("up").alias("at"), F.when(F.col("at").isNull(), F.col("path")).otherwise(F.concat(F.array("at"), F.col("path"))).alias("path")), "trail")
+    return at.select("seed", F.col("end").alias("node"), "path")
+
+
+def simple_paths(edges: DataFrame, max_length: int = 16) -> DataFrame:
+    """(path): simple paths from sources to sinks of at most max_length nodes; longer ones raise an error rather than being dropped."""
+    ends = materialize(sources_and_sinks(edges), "ends")
+    step = edges.select(F.col("src").alias("at"), F.col("dst").alias("to")).distinct()
+    sinks = ends.where("role = 'sink'").select(F.col("node").alias("at"))
+    front = ends.where("role = 'source'").select(F.col("node").alias("at"), F.array("node").alias("path"))
+    done = []
+    for _ in range(max_length):
+        front = materialize(front, "paths")
+        if front.isEmpty():
+            break
+        done.append(front.join(sinks, "at", "left_semi").select("path"))
+        front = front.join(step, "at").where(~F.array_contains("path", F.col("to"))).select(F.col("to").alias("at"), F.concat("path", F.array("to")).alias("path"))
+    else:
+        if not front.isEmpty():
+            raise ValueError(f"paths of more than {max_length} nodes; raise max_length or split the component")
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out
+
+
+def path_edges(paths: DataFrame) -> DataFrame:
+    """Distinct (src, dst) on any path."""
+    steps = F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda k: F.struct(F.element_at("path", k).alias("src"), F.element_at("path", k + 1).alias("dst")))
+    return paths.where(F.size("path") > 1).select(F.explode(steps).alias("e")).select("e.*").distinct()
+
+
+def backward_edges(edges: DataFrame, paths: DataFrame) -> DataFrame:
+    """Edges on no path."""
+    return edges.select("src", "dst").distinct().join(path_edges(paths), ["src", "dst"], "left_anti")
+
+
+def uncovered_nodes(edges: DataFrame, paths: DataFrame) -> DataFrame:
+    """Nodes on no path."""
+    return degrees(edges).select("node").join(paths.select(F.explode("path").alias("node")).distinct(), "node", "left_anti")
+
+
+def common_prefix(paths: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, prefix): the longest start that all paths of a key share, by positions; no path is compared with another."""
+    total = paths.groupBy(*keys).agg(F.count("*").alias("_paths"))
+    cells = paths.select(*keys, F.posexplode("path").alias("pos", "at")).groupBy(*keys, "pos").agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.count("*").alias("n")).join(total, keys)
+    broken = F.max(F.when((F.col("lo") == F.col("hi")) & (F.col("n") == F.col("_paths")), 0).otherwise(1)).over(Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    kept = cells.withColumn("_broken", broken).where("_broken = 0").groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "lo"))), lambda x: x["lo"]).alias("prefix"))
+    return total.select(*keys).join(kept, keys, "left")
+
+
+def shared_reach(reached: DataFrame) -> DataFrame:
+    """(a, b, shared): pairs of sources that reach a common node. reached: (seed, node).
+
+    A node's sources are paired within the node; callers bound the sources per
+    component, as the pairs are their result.
+    """
+    left, right = reached.select("node", F.col("seed").alias("a")), reached.select("node", F.col("seed").alias("b"))
+    return left.join(right, "node").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+
+
+def exclusive_reach(reached: DataFrame) -> DataFrame:
+    """(seed, node) for nodes that one source only reaches."""
+    return reached.groupBy("node").agg(F.min("seed").alias("seed"), F.count_distinct("seed").alias("n")).where("n = 1").select("seed", "node")
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(node, label): the smallest node that reaches and is reached; by full reachability, so for small components."""
+    pairs = reach(edges, degrees(edges).select("node"))
+    back = pairs.select(F.col("node").alias("seed"), F.col("seed").alias("node"))
+    return pairs.select("seed", "node").join(back, ["seed", "node"]).groupBy(F.col("seed").alias("node")).agg(F.min("node").alias("label"))
