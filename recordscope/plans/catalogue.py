@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import layout_queries
+from . import graph_queries, layout_queries
 
-MODULES = (layout_queries,)
+MODULES = (layout_queries, graph_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
