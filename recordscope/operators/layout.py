@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..storage import materialize
 from .graph import min_labels, without_edges
-from .intervals import conflicted
+from .intervals import conflicted, cross_conflicted
 
 Fields = frozenset[tuple[int, int]]
 
@@ -120,6 +120,33 @@ def evil_edges(edges: dict, fields: dict) -> set[tuple]:
         for t in clashes.pop(worst):
             clashes[t].discard(worst)
         clashes[worst] = set()
+    return evil or cut_against_direction(edges, nodes, fields)
+
+
+def cut_against_direction(edges: dict, nodes: list, fields: dict) -> set[tuple]:
+    """For conflicts that no directed walk meets (cycles, sources that meet below): nodes join over edges of any direction, and those that conflict are cut off."""
+    near: dict = {n: set() for n in nodes}
+    for a, outs in edges.items():
+        for b in outs:
+            near[a].add(b)
+            near[b].add(a)
+    evil: set[tuple] = set()
+    seen: set = set()
+    for start in nodes:
+        if start in seen:
+            continue
+        seen.add(start)
+        joined, front, held = {start}, [start], set(fields.get(start, frozenset()))
+        while front:
+            node = front.pop(0)
+            for other in sorted(near[node] - seen):
+                own = fields.get(other, frozenset())
+                if not clash(held, own):
+                    seen.add(other)
+                    joined.add(other)
+                    held |= own
+                    front.append(other)
+        evil.update((a, b) for a, outs in edges.items() for b in outs if (a in joined) != (b in joined))
     return evil
 
 
@@ -154,4 +181,8 @@ def remove_conflicts(edges: DataFrame, fields: DataFrame, rounds: int = 8) -> tu
         if evil.isEmpty():
             return edges, labels
         edges = materialize(without_edges(edges, evil), "tfg")
-    return edges, min_labels(edges, nodes=nodes)
+    labels = materialize(min_labels(edges, nodes=nodes), "components")
+    held = fields.join(labels.select(F.col("node").alias("base"), F.col("label").alias("component")), "base")
+    if not cross_conflicted(held, "component", "base").isEmpty():
+        raise ValueError(f"conflicts are left after {rounds} rounds")
+    return edges, labels

@@ -39,7 +39,7 @@ def sources_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.sources_and_sinks(geography(spark, sf_dir))
 
 
-PATHS_SQL = f"WITH RECURSIVE {GEOGRAPHY_SQL}, p AS (SELECT src AS node, src AS path FROM geo WHERE src NOT IN (SELECT dst FROM geo) UNION ALL SELECT g.dst, p.path || '>' || g.dst FROM p JOIN geo g ON g.src = p.node)"
+PATHS_SQL = f"WITH RECURSIVE {GEOGRAPHY_SQL}, p AS (SELECT DISTINCT src AS node, src AS path FROM geo WHERE src NOT IN (SELECT dst FROM geo) UNION ALL SELECT g.dst, p.path || '>' || g.dst FROM p JOIN geo g ON g.src = p.node)"
 
 
 @query(f"{PATHS_SQL} SELECT path FROM p WHERE node NOT IN (SELECT src FROM geo)")
@@ -171,11 +171,11 @@ def vararg_min(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH s AS (SELECT c_nationkey % 25 AS expr, (c_custkey % 2 + 1) * 8 AS size, 'CALLSITE' AS t FROM customer WHERE c_custkey % 7 = c_nationkey % 7 UNION ALL SELECT s_nationkey, (s_nationkey % 3 + 1) * 8, 'EXPRESSION' FROM supplier),
 p AS (SELECT expr, expr % 2 = 0 AS stack, count(DISTINCT size) AS n, max(size) AS only_size, count(DISTINCT CASE WHEN t = 'CALLSITE' THEN size END) AS ns, count(DISTINCT CASE WHEN t = 'EXPRESSION' THEN size END) AS ne, max(CASE WHEN t = 'CALLSITE' THEN size END) AS site, max(CASE WHEN t = 'EXPRESSION' THEN size END) AS own FROM s GROUP BY 1),
-z AS (SELECT expr, CASE WHEN n = 1 THEN only_size WHEN stack AND ns = 1 THEN site WHEN NOT stack AND ns = 1 AND ne = 1 THEN greatest(site, own) END AS size FROM p) SELECT expr, size::BIGINT AS size, size IS NULL AS is_union FROM z""")
+z AS (SELECT expr, CASE WHEN n = 1 THEN only_size WHEN stack AND ns = 1 THEN site WHEN NOT stack AND ns = 1 AND ne = 1 THEN greatest(site, own) END AS size FROM p) SELECT expr, coalesce(size, -1)::BIGINT AS size, size IS NULL AS is_union FROM z""")
 def size_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = table(spark, sf_dir, "customer").where("c_custkey % 7 = c_nationkey % 7").select((F.col("c_nationkey") % 25).alias("expr"), ((F.col("c_custkey") % 2 + 1) * 8).cast("long").alias("size"), F.lit("CALLSITE").alias("source_type"))
     b = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("expr"), ((F.col("s_nationkey") % 3 + 1) * 8).cast("long").alias("size"), F.lit("EXPRESSION").alias("source_type"))
-    return sizes.resolve_sizes(a.unionByName(b).withColumn("on_stack", F.col("expr") % 2 == 0))
+    return sizes.resolve_sizes(a.unionByName(b).withColumn("on_stack", F.col("expr") % 2 == 0)).fillna({"size": -1})
 
 
 @query(f"""WITH {GEOGRAPHY_SQL}, s AS (SELECT 'r' || r_regionkey AS node, (r_regionkey % 2 + 1) * 16 AS size FROM region UNION ALL SELECT 'n' || n_nationkey, 16 FROM nation WHERE n_nationkey % 5 = 0),

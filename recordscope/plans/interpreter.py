@@ -7,7 +7,8 @@ access points, edges, arguments, returned expressions, attributes.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import json
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import MAX_OFFSET
 from ..operators.calls import MOST_FACTS
+from ..storage import materialize
 from .expressions import Expr, add, aliases, closure, constant, dereference, multiply, reference, row, symbol
 
 LEARNT = "func string, what string, a string, b string, op string, kind string, dt string, size int, n long"
@@ -235,7 +237,7 @@ def interpret(ops: DataFrame, skip: DataFrame | None = None) -> tuple[DataFrame,
     else:
         marked = ops.join(skip.groupBy("func").agg(F.collect_set("sym").alias("skip")), "func", "left").withColumn("skip", F.coalesce("skip", F.array().cast("array<string>")))
 
-    def run(group: pa.Table) -> Iterator[Function]:
+    def run(group: pa.Table) -> Function:
         rows = sorted(group.to_pylist(), key=lambda r: (r["ord"], r["op"]))
         f = Function(rows[0]["func"], set(rows[0]["skip"] or ()))
         f.run(rows)
@@ -243,19 +245,16 @@ def interpret(ops: DataFrame, skip: DataFrame | None = None) -> tuple[DataFrame,
 
     def learnt(group: pa.Table) -> pa.Table:
         f = run(group)
+        for e in f.seen:
+            f.put("expr", e, json.dumps(row(e, f.name)))
         names = ["func", "what", "a", "b", "op", "kind", "dt", "size", "n"]
         types = [pa.string()] * 7 + [pa.int32(), pa.int64()]
         columns = list(zip(*f.learnt)) or [()] * len(names)
         return pa.table([pa.array(c, t) for c, t in zip(columns, types)], names)
 
-    def made(group: pa.Table) -> pa.Table:
-        f = run(group)
-        schema = pa.schema([("expr", pa.string()), ("kind", pa.string()), ("base", pa.string()), ("idx", pa.string()), ("scale", pa.int64()), ("off", pa.int64()), ("nested", pa.string()), ("sym", pa.string()), ("const", pa.int64()), ("root_sym", pa.string()), ("func", pa.string())])
-        return pa.Table.from_pylist([row(e, f.name) for e in f.seen], schema)
-
-    groups = marked.groupBy("func")
-    exprs = groups.applyInArrow(made, "expr string, kind string, base string, idx string, scale long, off long, nested string, sym string, const long, root_sym string, func string")
-    return groups.applyInArrow(learnt, LEARNT), exprs
+    found = materialize(marked.groupBy("func").applyInArrow(learnt, LEARNT), "learnt")
+    exprs = found.where("what = 'expr'").select(F.from_json("b", "expr string, kind string, base string, idx string, scale long, off long, nested string, sym string, const long, root_sym string, func string").alias("x")).select("x.*")
+    return found.where("what <> 'expr'"), exprs
 
 
 def field_accesses(learnt: DataFrame, exprs: DataFrame) -> DataFrame:

@@ -113,9 +113,9 @@ def member_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.member_conflicts(fields.most_accessed(accesses(spark, sf_dir)))
 
 
-@query(f"""{FA}, {MODE_SQL} SELECT a.base, a."offset", a.size, (SELECT min(b."offset") FROM mode b WHERE b.base = a.base AND b."offset" >= a."offset" + a.size)::BIGINT AS next_start FROM mode a""")
+@query(f"""{FA}, {MODE_SQL} SELECT a.base, a."offset", a.size, coalesce((SELECT min(b."offset") FROM mode b WHERE b.base = a.base AND b."offset" >= a."offset" + a.size), -1)::BIGINT AS next_start FROM mode a""")
 def next_start(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return intervals.next_start(fields.most_accessed(accesses(spark, sf_dir)).select("base", "offset", "size"))
+    return intervals.next_start(fields.most_accessed(accesses(spark, sf_dir)).select("base", "offset", "size")).fillna({"next_start": -1})
 
 
 RANGES = "r AS (SELECT o_custkey AS k, epoch(o_orderdate)::BIGINT // 86400 AS s, epoch(o_orderdate)::BIGINT // 86400 + 10 + o_orderkey % 50 AS e FROM orders)"

@@ -12,16 +12,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _op(base: str) -> str:
+    """What stands for the accessing operation: another key than the base."""
+    return "l_orderkey" if base == "l_partkey" else "l_partkey"
+
+
 def accesses(spark: SparkSession, sf_dir: str, base: str = "l_orderkey") -> DataFrame:
     """lineitem as deduplicated accesses: base, offset, op, dt, size."""
     size = F.when(F.col("l_quantity") <= 15, 1).when(F.col("l_quantity") <= 30, 2).when(F.col("l_quantity") <= 45, 4).otherwise(8)
-    rows = table(spark, sf_dir, "lineitem").select(F.col(base).alias("base"), ((F.col("l_linenumber") - 1) * 4).cast("long").alias("offset"), F.col("l_partkey").alias("op"), F.concat("l_returnflag", "l_linestatus").alias("dt"), size.alias("size"))
+    rows = table(spark, sf_dir, "lineitem").select(F.col(base).alias("base"), ((F.col("l_linenumber") - 1) * 4).cast("long").alias("offset"), F.col(_op(base)).alias("op"), F.concat("l_returnflag", "l_linestatus").alias("dt"), size.alias("size"))
     return dedup_accesses(rows)
 
 
 def accesses_sql(base: str = "l_orderkey") -> str:
     """The same as a common table expression named fa."""
-    return f"""raw AS (SELECT {base} AS base, ((l_linenumber - 1) * 4)::BIGINT AS "offset", l_partkey AS op, l_returnflag || l_linestatus AS dt,
+    return f"""raw AS (SELECT {base} AS base, ((l_linenumber - 1) * 4)::BIGINT AS "offset", {_op(base)} AS op, l_returnflag || l_linestatus AS dt,
  CASE WHEN l_quantity <= 15 THEN 1 WHEN l_quantity <= 30 THEN 2 WHEN l_quantity <= 45 THEN 4 ELSE 8 END AS size FROM lineitem),
 fa AS (SELECT base, "offset", op, dt, size FROM raw QUALIFY row_number() OVER (PARTITION BY base, "offset", op ORDER BY dt, size) = 1)"""
 

@@ -1 +1,114 @@
-"""Sources and sinks."""
+"""Sources and sinks: fact tables, JSON documents, DOT graphs, run logs, binaries."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Schemas of the fact tables, as DDL.
+FACTS = {
+    "functions": "func string, entry long, name string, is_external boolean, is_thunk boolean",
+    "call_insts": "caller string, inst long, mnemonic string, flow long",
+    "data_types": "dt string, kind string, length int, alignment int, pointee string, element string, typedef_of string, category string",
+    "dt_components": "dt string, ordinal int, offset int, comp_dt string, field_name string",
+    "symbols": "func string, sym string, name string, role string, param_idx int, dt string, storage_kind string, stack_offset long, pc_addr long, global_addr long, is_isolated boolean",
+    "varnodes": "func string, vn string, space string, value long, size int, reg string, sym string, dt string, merge_group int",
+    "pcode_ops": "func string, block int, seq int, op string, opcode string, output_vn string, input_vns array<string>",
+    "call_sites": "cs string, caller string, op string, callee_entry long, args array<string>, receiver string, bb_addr long",
+}
+FIELD = "struct<desc:string,size:int,type:string,name:string>"
+TYPE_DOC = f"struct<desc:string,type:string,layout:map<string,{FIELD}>,ptrRef:map<string,struct<refSkt:string,ptrLevel:int>>,nest:map<string,string>,decompilerInferred:struct<composite:array<string>,array:array<string>,primitive:array<string>>,decompiledCode:map<string,string>>"
+DOCUMENTS = {
+    "final": f"map<string,{TYPE_DOC}>",
+    "global_morph": f"struct<desc:string,globalMorph:map<string,{TYPE_DOC}>>",
+    "range_morph": f"struct<desc:string,rangeMorph:array<struct<startOffset:string,endOffset:string,desc:string,types:map<string,{TYPE_DOC}>>>>",
+}
+
+
+def read_facts(spark: SparkSession, folder: str, name: str, fmt: str = "parquet") -> DataFrame:
+    return spark.read.format(fmt).schema(FACTS[name]).load(f"{folder}/{name}")
+
+
+def read_documents(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """(path, doc) of JSON documents; keys are data, so the schema is given, not inferred."""
+    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
+    return text.select("path", F.from_json("value", DOCUMENTS[kind]).alias("doc"))
+
+
+def type_documents(documents: DataFrame, kind: str) -> DataFrame:
+    """(path, start, end, name, type_doc): one row per candidate type."""
+    if kind == "final":
+        return documents.select("path", F.lit(None).cast("string").alias("start"), F.lit(None).cast("string").alias("end"), F.explode("doc").alias("name", "type_doc"))
+    if kind == "global_morph":
+        return documents.select("path", F.lit(None).cast("string").alias("start"), F.lit(None).cast("string").alias("end"), F.explode("doc.globalMorph").alias("name", "type_doc"))
+    ranges = documents.select("path", F.explode("doc.rangeMorph").alias("r"))
+    return ranges.select("path", F.col("r.startOffset").alias("start"), F.col("r.endOffset").alias("end"), F.explode("r.types").alias("name", "type_doc"))
+
+
+def read_dot(spark: SparkSession, path: str) -> DataFrame:
+    """(path, src, dst, label) of DOT files, each edge both ways; of edges between the same nodes the last label counts."""
+    lines = spark.read.text(path).select(F.input_file_name().alias("path"), "value", F.monotonically_increasing_id().alias("at"))
+    arrow = r'^\s*"?([^"\[\]]+?)"?\s*-[->]\s*"?([^"\[\]]+?)"?\s*(?:\[(.*)\])?\s*;?\s*$'
+    edges = lines.where(F.col("value").rlike(arrow)).select("path", "at", F.regexp_extract("value", arrow, 1).alias("src"), F.regexp_extract("value", arrow, 2).alias("dst"), F.regexp_extract(F.regexp_extract("value", arrow, 3), r'label\s*=\s*"?([^",\]]*)"?', 1).alias("label"))
+    both = edges.unionByName(edges.select("path", "at", F.col("dst").alias("src"), F.col("src").alias("dst"), "label"))
+    return both.groupBy("path", "src", "dst").agg(F.max_by("label", "at").alias("label"))
+
+
+def read_timings(spark: SparkSession, path: str) -> DataFrame:
+    """(path, analysis_s, retyping_s, total_s) from run logs."""
+    text = spark.read.text(path, wholetext=True)
+    number = lambda name: F.regexp_extract("value", name + r"\s*time:\s*([0-9.]+)s", 1).cast("double")
+    return text.select(F.input_file_name().alias("path"), number("Type Analysis").alias("analysis_s"), number("ReTyping").alias("retyping_s"), number("Total").alias("total_s"))
+
+
+def timing_totals(timings: DataFrame) -> DataFrame:
+    return timings.agg(*[F.sum(c).alias(c) for c in ("analysis_s", "retyping_s", "total_s")])
+
+
+def elf_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length) of files that start with the ELF magic number."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.where(F.hex(F.substring("content", 1, 4)) == "7F454C46").select("path", "length")
+
+
+def struct_document(members: DataFrame, key: str = "c") -> DataFrame:
+    """(key, doc): each record's JSON layout by hexadecimal offset. members: (key, offset, size, type, name, kind)."""
+    desc = F.initcap("kind")
+    entry = F.struct(F.concat(F.lit("0x"), F.lower(F.hex("offset"))).alias("k"), F.struct(desc.alias("desc"), F.col("size").cast("int").alias("size"), F.col("type"), F.col("name")).alias("v"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("offset", entry.alias("e")))), lambda x: x["e"])
+    return members.groupBy(key).agg(F.to_json(F.struct(F.lit("Structure").alias("desc"), F.map_from_entries(ordered).alias("layout"))).alias("doc"))
+
+
+def union_document(members: DataFrame, key: str = "c") -> DataFrame:
+    """(key, doc): a union's members named by their order. members: (key, type, size)."""
+    listed = F.array_sort(F.collect_set(F.struct("type", "size")))
+    named = F.transform(listed, lambda x, i: F.struct(F.concat(F.lit("union_member_"), i.cast("string")).alias("name"), x["type"].alias("type"), x["size"].alias("size")))
+    return members.groupBy(key).agg(F.to_json(F.struct(F.lit("Union").alias("desc"), named.alias("members"))).alias("doc"))
+
+
+def variable_index(variables: DataFrame) -> DataFrame:
+    """(func, doc): a function's name, parameters and locals by location key. variables: (func, func_name, role, loc, name, desc, c)."""
+    entry = F.struct("loc", F.struct(F.col("name").alias("Name"), "desc", F.col("c").alias("TypeConstraint")).alias("v"))
+    of = lambda role: F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("role") == role, entry))))
+    return variables.groupBy("func", "func_name").agg(of("param").alias("p"), of("local").alias("l")).select("func", F.to_json(F.struct(F.col("func_name").alias("Name"), F.col("p").alias("Parameters"), F.col("l").alias("LocalVariables"))).alias("doc"))
+
+
+def document_kind(has_inferred: Column, n_global: Column, n_range: Column, has_final: Column) -> Column:
+    """The suffix of a constraint's document; null where there is nothing to say. With both kinds of candidates, both are written by the caller."""
+    return F.when(has_inferred, "_final_DI").when((n_global == 0) & (n_range == 0) & has_final, "_final").when(n_global > 0, "_global_morph").when(n_range > 0, "_range_morph")
+
+
+def write_documents(documents: DataFrame, folder: str) -> None:
+    """JSON lines, a folder per kind. documents: (kind, c, doc)."""
+    documents.write.mode("overwrite").partitionBy("kind").json(folder)
+
+
+def dot_text(edges: DataFrame, key: str = "component") -> DataFrame:
+    """(key, dot): each component as a DOT graph. edges: (key, src, dst, edge_type)."""
+    line = F.concat(F.lit('  "'), F.col("src"), F.lit('" -> "'), F.col("dst"), F.lit('" [label="'), F.col("edge_type"), F.lit('"];'))
+    return edges.groupBy(key).agg(F.concat(F.lit("digraph {\n"), F.array_join(F.array_sort(F.collect_set(line)), "\n"), F.lit("\n}")).alias("dot"))
+
+
+def schema_of(name: str) -> T.StructType:
+    return T.StructType.fromDDL(FACTS[name])
