@@ -33,3 +33,22 @@ def salted_lookup(many: DataFrame, one: DataFrame, key: str, hot: DataFrame, spr
     left = many.join(mark, F.col(key) == F.col("_hot_key"), "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(spread, F.lit(SALTS)).cast("int")).otherwise(F.lit(0))).drop("_hot_key", "_hot")
     right = one.join(mark, F.col(key) == F.col("_hot_key"), "left").withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("_hot_key", "_hot")
     return left.join(right, [key, "_salt"], how).drop("_salt")
+
+
+#: Bits of the map that maybe_member broadcasts: 8 MB whatever the number of keys.
+MAP_BITS = 26
+_PAGE = 32_768
+
+
+def maybe_member(rows: DataFrame, key: str, keys: DataFrame, name: str) -> DataFrame:
+    """Adds the boolean ``name``: false only where rows' key is not among keys' column of the same name.
+
+    A bitmap over hashed keys of a fixed size is broadcast. It spares a shuffle
+    of the rows that are surely not members; true needs an exact join after.
+    """
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << MAP_BITS))
+    pages = keys.select(at(F.col(key)).alias("_at")).groupBy(F.expr(f"_at div {_PAGE}").alias("_page")).agg(F.bitmap_construct_agg((F.col("_at") % _PAGE)).alias("_map"))
+    placed = rows.withColumn("_at", at(F.col(key))).withColumn("_page", F.expr(f"_at div {_PAGE}"))
+    byte = F.conv(F.hex(F.expr(f"substring(_map, cast(_at % {_PAGE} div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    bit = F.expr("1") == F.call_function("shiftright", byte, (F.col("_at") % 8).cast("int")).bitwiseAND(1)
+    return placed.join(F.broadcast(pages), "_page", "left").withColumn(name, F.coalesce(bit, F.lit(False))).drop("_at", "_page", "_map")

@@ -183,3 +183,16 @@ def test_votes(spark):
 def test_candidate_dedup(spark):
     c = table(spark, "c int, start int, end int, name string, layout_hash long", (1, 0, 8, "b", 5), (1, 0, 8, "a", 5), (1, 0, 8, "c", 6))
     assert rows(candidates.dedup_candidates(c), "name") == [("a",), ("c",)]
+
+
+def test_bitmap_never_misses_a_member(spark):
+    from recordscope.operators.skew import hot_keys, maybe_member, salted_lookup
+
+    keys = spark.range(0, 5000, 7).select(F.col("id").alias("k"))
+    marked = maybe_member(spark.range(5000).select(F.col("id").alias("k"), F.lit("x").alias("v")), "k", keys, "hit")
+    assert marked.where("k % 7 = 0 AND NOT hit").isEmpty() and marked.where("k % 7 <> 0 AND hit").count() < 10
+    many = spark.range(4000).select(F.when(F.col("id") < 3000, 1).otherwise(F.col("id")).alias("k"), "id")
+    counted = many.groupBy("k").agg(F.count("*").alias("n"))
+    hot = hot_keys(counted, "k", "n", 4000)
+    assert rows(hot, "k") == [(1,)]
+    assert salted_lookup(many, counted, "k", hot, F.col("id")).where("n = 3000").count() == 3000
