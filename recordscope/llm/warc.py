@@ -201,8 +201,6 @@ def save(normalised: DataFrame, folder: str) -> None:
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     archives = materialize(write_archives(with_targets(read(spark, sf_dir, "pages"))), "archives")
-    # Rows of several megabytes: one at a time.
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1)
     return read_records(materialize(normalise(archives), "normalised"))
 
 
