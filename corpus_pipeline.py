@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from recordscope.llm import near_duplicates, packing, quality, secrets
 from recordscope.llm.tables import read, small_batches
+from recordscope.operators.skew import maybe_member
 from recordscope.storage import materialize
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -29,15 +30,17 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group that links connect: the one with the smallest id."""
-    links = near_duplicates.jaccard_links(docs)
-    kept = materialize(links.where("doc_id = cluster_id").select("doc_id"), "kept")
-    rows = docs.where("doc_id IS NOT NULL").select(*COLUMNS)
-    if kept.groupBy("doc_id").count().where("count > 1").isEmpty() and docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
-        one = rows.join(kept, "doc_id", "left_semi")
-    else:
-        first = Window.partitionBy("doc_id").orderBy(F.sha2(F.coalesce("text", F.lit("")), 256), "lang", "source", "n_chars")
-        one = rows.join(kept.distinct(), "doc_id", "left_semi").withColumn("_rn", F.row_number().over(first)).where("_rn = 1").select(*COLUMNS)
-    return one.select(*COLUMNS).unionByName(docs.where("doc_id IS NULL").select(*COLUMNS))
+    links = materialize(near_duplicates.jaccard_links(docs), "links")
+    named = docs.where("doc_id IS NOT NULL").select(*COLUMNS)
+    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
+    dropped = links.where("doc_id <> cluster_id").select("doc_id").unionByName(repeated.select("doc_id")).distinct()
+    # Most rows are surely kept and need no shuffle; the rest is decided exactly.
+    marked = maybe_member(named, "doc_id", materialize(dropped, "dropped"), "doubtful")
+    sure = marked.where("NOT doubtful").select(*COLUMNS)
+    kept = links.where("doc_id = cluster_id").select("doc_id").distinct()
+    first = Window.partitionBy("doc_id").orderBy(F.sha2(F.coalesce("text", F.lit("")), 256), "lang", "source", "n_chars")
+    rest = marked.where("doubtful").join(kept, "doc_id", "left_semi").withColumn("_rn", F.row_number().over(first)).where("_rn = 1").select(*COLUMNS)
+    return sure.unionByName(rest).unionByName(docs.where("doc_id IS NULL").select(*COLUMNS))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
