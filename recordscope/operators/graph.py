@@ -195,3 +195,20 @@ def strong_components(edges: DataFrame) -> DataFrame:
     pairs = reach(edges, degrees(edges).select("node"))
     back = pairs.select(F.col("node").alias("seed"), F.col("seed").alias("node"))
     return pairs.select("seed", "node").join(back, ["seed", "node"]).groupBy(F.col("seed").alias("node")).agg(F.min("node").alias("label"))
+
+
+def least_degree(edges: DataFrame, nodes: DataFrame, column: str = "n_in") -> DataFrame:
+    """The node of ``nodes`` with the smallest in- (n_in) or out-degree (n_out); ties by key. One row."""
+    return degrees(edges).join(nodes.select("node"), "node", "left_semi").orderBy(column, "node").limit(1)
+
+
+def most_conflicts(pairs: DataFrame, shared: DataFrame) -> DataFrame:
+    """(node, n): how many others a node conflicts with without sharing anything, most first. pairs, shared: (a, b) with a < b."""
+    apart = pairs.select("a", "b").join(shared.select("a", "b"), ["a", "b"], "left_anti")
+    return apart.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "node")
+
+
+def neighbourhood(edges: DataFrame, node: DataFrame, depth: int) -> DataFrame:
+    """Edges whose ends are both within ``depth`` steps of the node, in either direction."""
+    near = materialize(reach(edges, node, True, depth).select("node").unionByName(reach(edges, node, False, depth).select("node")).distinct(), "near")
+    return edges.join(near.withColumnRenamed("node", "src"), "src", "left_semi").join(near.withColumnRenamed("node", "dst"), "dst", "left_semi")

@@ -196,3 +196,24 @@ def test_bitmap_never_misses_a_member(spark):
     hot = hot_keys(counted, "k", "n", 4000)
     assert rows(hot, "k") == [(1,)]
     assert salted_lookup(many, counted, "k", hot, F.col("id")).where("n = 3000").count() == 3000
+
+
+def test_symbols(spark):
+    from recordscope.operators import symbols
+
+    v = table(spark, "func string, vn string, sym string, dt string, merge_group int", ("f", "a", "x", "int", 1), ("f", "b", "x", "int", 2), ("f", "c", "y", "S*", 1))
+    s = table(spark, "func string, sym string, name string, role string, storage_kind string, stack_offset long, pc_addr long, is_isolated boolean", ("f", "x", "x", "param", "register", None, 4, False), ("f", "y", "y", "local", "stack", -16, 4, False), ("f", "z", "z", "local", "register", None, 64, False))
+    assert rows(symbols.split_parameters(s, v), "sym") == [("x",)] and rows(symbols.used_symbols(s, v), "sym") == [("x",), ("y",)]
+    assert rows(symbols.located(s), "loc") == [("f:RegUniq[0x40]",), ("f:stack[-0x10]",), ("f:x",)]
+    o = table(spark, "func string, op string, opcode string, output_vn string, input_vns array<string>", ("f", "o", "CAST", "c", ["a"]))
+    r = table(spark, "dt string, rank int", ("int", 1), ("S*", 5))
+    assert rows(symbols.type_through_casts(v, o, r), "vn", "dt") == [("a", "S*"), ("b", "int"), ("c", "S*")]
+    assert rows(symbols.match_symbols(s, s), "old_sym", "new_sym") == [("x", "x"), ("y", "y"), ("z", "z")]
+
+
+def test_neighbourhood_and_degrees(spark):
+    e = table(spark, "src string, dst string", ("a", "b"), ("b", "c"), ("c", "d"))
+    assert rows(graph.neighbourhood(e, table(spark, "node string", ("b",)), 1), "src", "dst") == [("a", "b"), ("b", "c")]
+    assert rows(graph.least_degree(e, table(spark, "node string", ("b",), ("a",))), "node") == [("a",)]
+    c = table(spark, "a string, b string", ("s", "t"), ("s", "u"), ("t", "u"))
+    assert rows(graph.most_conflicts(c, table(spark, "a string, b string", ("t", "u"))), "node", "n") == [("s", 2), ("t", 1), ("u", 1)]
