@@ -111,6 +111,18 @@ def test_packing_is_gapless_and_certified(spark, docs, empty):
     assert packing.pack_documents(empty).count() == 0
 
 
+def test_packing_ids_equal_the_tokenizers_library():
+    tokenizers = pytest.importorskip("tokenizers")
+    path = P.path("byte_bpe_50k.json")
+    library = tokenizers.Tokenizer.from_file(path)
+    library.encode_special_tokens = True
+    encode = packing.library_encoder(path, 2)
+    rng = random.Random(6)
+    texts = [t or "" for t in ODD] + ["".join(rng.choice("etaoin shrdlu.,'\n\t") for _ in range(4000)), "".join(chr(rng.randrange(32, 0x3000)) for _ in range(500)), "a <|endoftext|> b", " \u0120x y"]
+    want = [np.array([*library.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes() for t in texts]
+    assert encode(texts) == want and encode(texts) == want
+
+
 def test_packing_bounds_hold():
     rng = np.random.default_rng(0)
     for _ in range(20):
