@@ -5,11 +5,11 @@ capacity; only longer documents are cut, and then only the first piece may be
 shorter. Full pieces are sequences of their own. The others are dealt to
 groups by hash; each group is packed by best-fit decreasing and gets a lower
 bound from dual-feasible functions. A group whose bin count meets its bound is
-certified: no packing of its documents has fewer bins. The other groups
-release the documents of the bins that aren't full, neighbouring groups
-exchange them, and best-fit decreasing runs again. A round's result for a
-group is taken only if it needs fewer bins; rounds end when none does, or when
-all is certified.
+certified: no packing of its documents has fewer bins. As groups that are best
+alone may still leave gaps between them, all release the documents of their
+emptier bins, which meet in new, fewer groups, and best-fit decreasing runs
+again. A round's result for a group is taken only if it needs fewer bins;
+rounds end when none does, or when all that was released met in one group.
 
 Defined results: a null text is an empty one and makes one piece, the end id;
 rows with equal doc_id are packed as documents of their own; ties in length
@@ -20,6 +20,7 @@ text are read.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
@@ -35,12 +36,17 @@ from .words import Memo
 
 #: Pieces that are packed in one task, as a mean.
 GROUP_PIECES = 8_000
-#: Groups that exchange documents with each other in a round.
-EXCHANGE = 8
+#: Groups release the documents of bins with less than this share of the capacity.
+RELEASED = 7 / 8
+#: Released documents meet in groups of so many times the size.
+EXCHANGE = 4
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Dual-feasible functions of each family.
 DFF_STEPS = 64
 
+#: Words that are given to the library as one string.
+JOINED = 500
+
 Encode = Callable[[list[str]], list[bytes]]
 
 
@@ -50,7 +56,32 @@ def library_encoder(path: str, end_id: int) -> Encode:
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-    memo = Memo(lambda texts: [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+    vocabulary = tokenizer.get_vocab()
+    starts = np.zeros(max(vocabulary.values()) + 1, bool)
+    starts[[k for token, k in vocabulary.items() if token.startswith("\u0120")]] = True  # this vocabulary's sign for a space
+
+    lone = re.compile(r" [^\s\u0120]+").fullmatch
+
+    def make(texts: list[str]) -> list[bytes]:
+        """Words with one space, before them, are encoded many at a time: their first tokens are those that start with a space."""
+        out: list[bytes] = [b""] * len(texts)
+        words = [k for k, t in enumerate(texts) if lone(t)]
+        whole = sorted(set(range(len(texts))) - set(words))
+        for at in range(0, len(words), JOINED):
+            part = words[at : at + JOINED]
+            ids = np.array(tokenizer.encode("".join([texts[k] for k in part]), add_special_tokens=False).ids, "<u4")
+            cuts = np.flatnonzero(starts[ids])
+            if len(cuts) != len(part):
+                whole += part
+                continue
+            raw, bounds = ids.tobytes(), [*(cuts * 4).tolist(), len(ids) * 4]
+            for k, a, b in zip(part, bounds, bounds[1:]):
+                out[k] = raw[a:b]
+        for k, e in zip(whole, tokenizer.encode_batch_fast([texts[k] for k in whole], add_special_tokens=False)):
+            out[k] = array("I", e.ids).tobytes()
+        return out
+
+    memo = Memo(make, 1_500_000)
     end = array("I", [end_id]).tobytes()
     return lambda texts: [x + end for x in memo.encode(texts)]
 
@@ -162,13 +193,13 @@ def pack(pieces: DataFrame, capacity: int, group_pieces: int = GROUP_PIECES) ->
     turn = 0
     while True:
         packed = materialize(dealt.groupBy("dealt").applyInArrow(_pack(capacity, turn), PACKED), "packed")
-        free = (F.col("gap") > 0) & (F.col("fill") < capacity)
+        free = F.col("fill") < RELEASED * capacity
         seen = packed.where(free).agg(F.count("*").alias("pieces"), F.count_distinct("dealt").alias("groups"), F.bool_or("gained").alias("gained")).first()
         if seen["groups"] <= 1 or not seen["gained"]:
             settled.append(packed)
             break
         settled.append(packed.where(~free))
-        groups = max(-(-seen["groups"] // EXCHANGE), -(-seen["pieces"] // group_pieces))
+        groups = -(-seen["pieces"] // (EXCHANGE * group_pieces))
         turn += 1
         dealt = packed.where(free).withColumn("dealt", F.pmod(F.xxhash64("turn", "home", "bin"), F.lit(groups)))
     done = full.withColumns({"turn": F.lit(-1), "home": F.col("doc_id"), "bin": F.col("piece").cast("long"), "offset": F.lit(0).cast("long"), "gap": F.lit(0).cast("long")})

@@ -41,12 +41,11 @@ class Memo(dict):
         for text in texts:
             parts.append(pieces(text))
             parts[-1][0] = " " + parts[-1][0]
-        known = self
-        missing = list({w for p in parts for w in p if w not in known})
+        missing = [w for w in set().union(*parts) if w not in self]
         if missing:
             if len(self) + len(missing) > self.most:
                 self.clear()
-                missing = list({w for p in parts for w in p})
+                missing = list(set().union(*parts))
             self.update(zip(missing, self.make([w[1:] if w[:1] == " " else " " + w for w in missing]), strict=True))
         out = [b"".join(map(self.__getitem__, p)) for p in parts]
         for w in missing:
