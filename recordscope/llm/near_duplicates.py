@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import min_labels
-from ..operators.skew import hot_keys, salted_lookup
+from ..operators.skew import hot_keys, maybe_member, salted_lookup
 from ..storage import materialize
 from .tables import read, small_batches
 
@@ -165,7 +165,7 @@ def _compare(band: int, left: int, right: int, ids: list[int], copies: np.ndarra
     return out_ids, out_counts, parents
 
 
-KEY = ("band", "hash", "left", "right")
+KEY = ("band", "bucket", "left", "right")
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,21 +208,21 @@ def jaccard_links(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     # Buckets, without those whose members are those of an earlier band's bucket.
-    spread = classes.where(F.col("bands").isNotNull()).select("class_id", F.posexplode("bands").alias("band", "hash"))
+    spread = classes.where(F.col("bands").isNotNull()).select("class_id", F.posexplode("bands").alias("band", "hash")).select("class_id", F.xxhash64("band", "hash").alias("bucket"), F.col("band").cast("short").alias("band"))
     mixed = F.xxhash64("class_id")
-    buckets = spread.groupBy("band", "hash").agg(F.count("*").alias("members"), F.sum(F.shiftright(mixed, 20)).alias("s"), F.bit_xor(mixed).alias("x")).where("members > 1")
-    buckets = buckets.groupBy("members", "s", "x").agg(F.min(F.struct("band", "hash")).alias("b")).select("b.band", "b.hash", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"), "members")
+    buckets = spread.groupBy("bucket").agg(F.count("*").alias("members"), F.bit_xor(mixed).alias("x"), F.min("band").alias("band")).where("members > 1")
+    buckets = buckets.groupBy("members", "x").agg(F.min(F.struct("band", "bucket")).alias("b")).select("b.bucket", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"), "members")
     buckets = materialize(buckets, "buckets")
-    named = F.xxhash64("band", "hash")
-    hot = hot_keys(buckets.select(named.alias("bucket"), "members"), "bucket", "members", classes.count())
-    members = salted_lookup(spread.withColumn("bucket", named), buckets.select(named.alias("bucket"), F.col("band").alias("b"), F.col("hash").alias("h"), "blocks"), "bucket", hot, mixed).where("band = b AND hash = h")
+    hot = hot_keys(buckets, "bucket", "members", classes.count())
+    members = salted_lookup(maybe_member(spread, "bucket", buckets, "kept").where("kept").drop("kept"), buckets.select("bucket", "blocks"), "bucket", hot, mixed)
     block = F.pmod(F.xxhash64("class_id", F.lit("block")), F.col("blocks")).cast("int")
     members = members.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    members = members.select("band", "hash", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "class_id")
+    members = members.select("band", "bucket", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "class_id")
 
     # Texts go along once per bucket.
     held = members.select("class_id").distinct().join(classes, "class_id").select("class_id", "copies", "bands")
-    texts = rows.select(F.col("id").alias("class_id"), F.col("text").alias("content")).join(held, "class_id")
+    held = materialize(held, "held")
+    texts = maybe_member(rows.select(F.col("id").alias("class_id"), F.col("text").alias("content")), "class_id", held, "held").where("held").drop("held").join(held, "class_id")
     dealt = members.join(texts, "class_id").repartition(parts, *KEY).sortWithinPartitions(*KEY)
     verified = materialize(dealt.select(*KEY, "class_id", "copies", "bands", "block", "content").mapInArrow(_verify, "class_id long, n long, parent long"), "verified")
 
