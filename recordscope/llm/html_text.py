@@ -6,7 +6,9 @@ page's vote; votes are counted per host in Spark. Then every page is read
 again and gives the text of its containers on the host's winning path, or, if
 it has none, that of its own best container. Boilerplate inside of a container
 (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles,
-reader comments) is left out by tag, role and class.
+reader comments) is left out by tag, role and class. A class or id alone does
+not silence a container with one of the page's larger articles in it, nor one
+with most of the page's running text if no such article is elsewhere.
 
 Defined results: null html is an empty page; a page without text gives the
 empty text; null or broken urls share the host ""; ties of votes go to the
@@ -18,8 +20,10 @@ rows; extra columns are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from html import unescape
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -39,6 +43,8 @@ BLOCKS = frozenset("address article aside blockquote body center dd details div
 CONTAINERS = frozenset("article main section div td body html".split())
 #: Starting one of these ends an open element of the same row, unless one of the second set is between.
 ENDS = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
+#: An article or main element counts beside a longer one of up to so many times its running text.
+ARTICLES = 4
 NOISE_TAGS = frozenset("nav header footer aside form dialog menu head".split()) | RAW
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
 NOISE_WORDS = frozenset(
@@ -58,17 +64,26 @@ class Page:
     def __init__(self, html: str):
         self.tags, self.paths, self.parents, self.noise, self.last = ["html"], ["html"], [-1], [False], [0]
         self.blocks: list[tuple[int, str, int]] = []
-        self._read(html)
+        #: Nodes whose class or id has a noise word.
+        self.named: set[int] = set()
+        runs = self._read(html)
+        if self.named:
+            self._silence(runs)
+        for run in runs:
+            kept = [x for x in run if x[0] < 0 or not self.noise[x[0]]]
+            whole = _SPACE.sub(" ", "".join([piece for _, piece, _ in kept])).strip()
+            if whole:
+                self.blocks.append((next(node for node, _, _ in kept if node >= 0), whole, sum(len(piece) for _, piece, in_link in kept if in_link)))
 
-    def _read(self, html: str) -> None:
-        stack, text, owner, linked, links, at = [0], [], 0, 0, 0, 0
+    def _read(self, html: str) -> list[list[tuple[int, str, bool]]]:
+        """The page's runs of pieces (node, or -1 for a mere space; text; whether in a link) between starts and ends of blocks."""
+        stack, runs, text, links, at = [0], [], [], 0, 0
 
         def flush() -> None:
-            nonlocal text, linked
-            whole = _SPACE.sub(" ", "".join(text)).strip()
-            if whole:
-                self.blocks.append((owner, whole, linked))
-            text, linked = [], 0
+            nonlocal text
+            if text:
+                runs.append(text)
+            text = []
 
         def close(depth: int) -> None:
             nonlocal links
@@ -84,11 +99,7 @@ class Page:
             kind = m.lastgroup
             if kind in ("text", "cdata"):
                 if not self.noise[stack[-1]]:
-                    if not text:
-                        owner = stack[-1]
-                    piece = unescape(m[kind]) if kind == "text" else m[kind]
-                    text.append(piece)
-                    linked += len(piece) if links else 0
+                    text.append((stack[-1], unescape(m[kind]) if kind == "text" else m[kind], links > 0))
                 continue
             tag = (m["tag"] or m["tag2"] or "").lower()
             if not tag:
@@ -107,12 +118,13 @@ class Page:
                 if not attrs.endswith("/") or tag in ("script", "style", "title", "textarea"):
                     at = end.end() if end else size
                 if tag not in ("svg", "math"):
-                    text.append(" ")
+                    text.append((-1, " ", False))
                 continue
             if tag in VOID:
                 if tag == "hr":
                     flush()
-                text.append(" " if tag == "br" else "")
+                elif tag == "br":
+                    text.append((-1, " ", False))
                 continue
             if tag in BLOCKS:
                 flush()
@@ -134,17 +146,42 @@ class Page:
             links += tag == "a"
         flush()
         close(0)
+        return runs
+
+    def _silence(self, runs: list[list[tuple[int, str, bool]]]) -> None:
+        """Makes noise of the named containers, but for those that hold what the page is about, and of all below them."""
+        own = [0] * len(self.tags)
+        for run in runs:
+            for node, piece, in_link in run:
+                if node >= 0 and not in_link:
+                    own[node] += len(_SPACE.sub(" ", piece).strip())
+        upto = [0, *accumulate(own)]
+        running = lambda k: upto[self.last[k] + 1] - upto[k]
+        articles = [k for k, tag in enumerate(self.tags) if tag in ("article", "main") and k not in self.named and not self.noise[k] and running(k)]
+        most = max(map(running, articles), default=0)
+        articles = [k for k in articles if running(k) * ARTICLES >= most]
+
+        def spared(k: int) -> bool:
+            at = bisect_right(articles, k)
+            if at < len(articles) and articles[at] <= self.last[k]:
+                return True
+            return 2 * running(k) > upto[-1] and not any(running(a) * ARTICLES >= running(k) for a in articles if a > self.last[k] or self.last[a] < k)
+
+        for node in range(1, len(self.tags)):
+            silent = node in self.named and self.tags[node] not in ("article", "main") and not spared(node)
+            self.noise[node] = self.noise[node] or self.noise[self.parents[node]] or silent
 
     def _open(self, tag: str, attrs: str, stack: list[int]) -> None:
         parent = stack[-1]
         noise = self.noise[parent] or tag in NOISE_TAGS
-        step = tag
+        step, named = tag, False
         if attrs.strip():
             found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)}
             classes = sorted({_DIGITS.sub("#", c) for c in found.get("class", "").split()})
+            if tag not in ("html", "body"):
+                named = not NOISE_WORDS.isdisjoint(_WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{found.get('class', '')} {found.get('id', '')}").lower()))
             if tag not in ("html", "body", "article", "main"):
-                named = set(_WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{found.get('class', '')} {found.get('id', '')}").lower()))
-                noise = noise or bool(named & NOISE_WORDS) or found.get("role", "").lower() in NOISE_ROLES or "hidden" in found or found.get("aria-hidden") == "true"
+                noise = noise or found.get("role", "").lower() in NOISE_ROLES or "hidden" in found or found.get("aria-hidden") == "true"
             step = ".".join([tag, *classes])
         if tag == "html" and parent == 0:
             stack.append(0)  # the root is there already
@@ -154,6 +191,8 @@ class Page:
         self.parents.append(parent)
         self.noise.append(noise)
         self.last.append(len(self.tags) - 1)
+        if named and not noise:
+            self.named.add(len(self.tags) - 1)
         stack.append(len(self.tags) - 1)
 
     def best(self) -> tuple[int, float] | None:

@@ -273,6 +273,22 @@ def test_html_extraction(spark):
     assert html_text.extract_texts(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_noise_words_spare_what_the_page_is_about(spark):
+    story = "<h1>Title of it</h1>" + "".join(f"<p>Running text of the story, its sentence number {k}, long enough to count.</p>" for k in range(6))
+    side = '<div class="sidebar"><p>Side matter that is not part of it.</p></div>'
+    comments = '<div id="comments">' + '<div class="comment"><article class="comment-body"><p>A reader has this to say, at some length, about the story above.</p></article></div>' * 9 + "</div>"
+    pages = []
+    for wrap in ("content-sidebar-wrap", "layout has-sidebar", "no-comments", "widget-area"):
+        pages += [(f'<body><div class="{wrap}"><article>{story}</article>{side}</div>{comments}</body>'), f'<body><div class="{wrap}"><div class="inner">{story}</div>{side}</div></body>']
+    rows = [(k, f"http://host{k}/", html) for k, html in enumerate(pages)]
+    out = {r.page_id: r.text for r in html_text.extract_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = "\n".join(["Title of it", *(f"Running text of the story, its sentence number {k}, long enough to count." for k in range(6))])
+    assert [out[k] for k in range(len(pages))] == [want] * len(pages)
+    # An article in a related box that is much shorter than the story stays out.
+    page = html_text.Page(f'<body><main>{story}<div class="related"><article><p>Read this too.</p></article></div></main></body>')
+    assert page.text(None) == want
+
+
 def test_warc_round_trip(spark, tmp_path):
     same = "s" * 150
     pages = [(5, "http://a/é b\n", same), (2, None, same), (9, "u", same), (1, "u", "short"), (3, "u", "short"), (4, "u", None), (None, "u", "é" * 60)]
