@@ -2,7 +2,7 @@
 
 Each page's containers are scored by the running text in them. The best
 container's generalised path, tags with their classes without digits, is the
-page's vote; votes are counted per host in Spark. Then every page is read
+page's vote, or that of the article or main element that it lies in; votes are counted per host in Spark. Then every page is read
 again and gives the text of its containers on the host's winning path, or, if
 it has none, that of its own best container. Boilerplate inside of a container
 (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles,
@@ -12,7 +12,7 @@ with most of the page's running text if no such article is elsewhere.
 
 Defined results: null html is an empty page; a page without text gives the
 empty text; null or broken urls share the host ""; ties of votes go to the
-path with more text, then to the first in order; cut-off markup ends where the
+path with more text, then to the larger hash of a path; cut-off markup ends where the
 page ends; rows with equal ids are rows of their own; an empty table gives no
 rows; extra columns are ignored.
 """
@@ -28,14 +28,14 @@ from itertools import accumulate
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh3_128_hexdigest
 
 from ..operators.skew import hot_keys, salted_lookup
 from ..storage import materialize
 from .tables import read, small_batches, texts_of
 
-#: Winning paths are broadcast up to this many hosts of at most PATH_CHARS each; beyond, they are joined by shuffle.
+#: Winning paths are broadcast up to this many hosts, as hashes of 32 characters; beyond, they are joined by shuffle.
 BROADCAST_HOSTS = 50_000
-PATH_CHARS = 300
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style noscript template iframe textarea title svg math object select button".split())
@@ -59,7 +59,7 @@ _WORDS = re.compile(r"[a-z]+")
 
 
 class Page:
-    """Nodes in page order (tag, path, parent, noise, last node below) and blocks (node, text, characters in links)."""
+    """Nodes in page order (tag, hash of the path, parent, noise, last node below) and blocks (node, text, characters in links)."""
 
     def __init__(self, html: str):
         self.tags, self.paths, self.parents, self.noise, self.last = ["html"], ["html"], [-1], [False], [0]
@@ -187,7 +187,7 @@ class Page:
             stack.append(0)  # the root is there already
             return
         self.tags.append(tag)
-        self.paths.append((self.paths[parent] + ">" + step)[:PATH_CHARS] if tag in BLOCKS else self.paths[parent])
+        self.paths.append(xxh3_128_hexdigest(f"{self.paths[parent]}>{step}") if tag in BLOCKS else self.paths[parent])
         self.parents.append(parent)
         self.noise.append(noise)
         self.last.append(len(self.tags) - 1)
@@ -196,7 +196,7 @@ class Page:
         stack.append(len(self.tags) - 1)
 
     def best(self) -> tuple[int, float] | None:
-        """The container with most running text, and its score: a block counts in its container and half as much in the next."""
+        """The container with most running text, or the article or main element around it, and the score: a block counts in its container and half as much in the next."""
         scores: dict[int, float] = {}
         for node, text, linked in self.blocks:
             worth = max(0.0, len(text) - 1.5 * linked)
@@ -209,7 +209,10 @@ class Page:
         if not scores:
             return None
         node = min(scores, key=lambda k: (-scores[k] * (1.3 if self.tags[k] in ("article", "main") else 1.0), k))
-        return node, scores[node]
+        score, around = scores[node], node
+        while around >= 0 and self.tags[around] not in ("article", "main"):
+            around = self.parents[around]
+        return (around if around >= 0 else node), score
 
     def text(self, path: str | None) -> str:
         """The blocks of the containers on the path, else of the best one."""

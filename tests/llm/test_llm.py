@@ -289,6 +289,17 @@ def test_html_noise_words_spare_what_the_page_is_about(spark):
     assert page.text(None) == want
 
 
+def test_html_paths_are_compared_whole_and_articles_are_kept_whole(spark):
+    deep = [" ".join(f"u-{level}-{chr(97 + k)}-utility" for k in range(20)) for level in "abcdef"]
+    story = "".join(f"<p>Running text of the story, its sentence number {k}, long enough to count.</p>" for k in range(6))
+    html = "".join(f'<div class="{c}">' for c in deep) + f'<div class="beside"><p>Boilerplate in a box beside it.</p></div><div class="text">{story}</div>' + "</div>" * len(deep)
+    article = f"<body><article><h1>Title</h1><p>The lead.</p><div>{story}</div></article></body>"
+    rows = [(1, "http://a.b/x", html), (2, "http://a.b/y", html), (3, "http://c.d/", article)]
+    out = {r.page_id: r.text for r in html_text.extract_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = "\n".join(f"Running text of the story, its sentence number {k}, long enough to count." for k in range(6))
+    assert (out[1], out[2], out[3]) == (want, want, f"Title\nThe lead.\n{want}")
+
+
 def test_warc_round_trip(spark, tmp_path):
     same = "s" * 150
     pages = [(5, "http://a/é b\n", same), (2, None, same), (9, "u", same), (1, "u", "short"), (3, "u", "short"), (4, "u", None), (None, "u", "é" * 60)]
