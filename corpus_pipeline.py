@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor
 kept. All but the last return the columns of documents. Null ids keep their
 rows through every stage; of rows with equal ids, the near-duplicate stage
-keeps one.
+keeps one for each cluster that the id stands for.
 """
 
 from __future__ import annotations
@@ -30,16 +30,18 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group that links connect: the one with the smallest id."""
-    links = materialize(near_duplicates.jaccard_links(docs), "links")
+    links = materialize(near_duplicates.row_links(docs), "links")
     named = docs.where("doc_id IS NOT NULL").select(*COLUMNS)
-    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
-    dropped = links.where("doc_id <> cluster_id").select("doc_id").unionByName(repeated.select("doc_id")).distinct()
+    repeated = links.groupBy("doc_id").count().where("count > 1")
+    first = F.col("leads") & (F.col("doc_id") == F.col("class_id"))
+    dropped = links.where(~first).select("doc_id").unionByName(repeated.select("doc_id")).distinct()
     # Most rows are surely kept and need no shuffle; the rest is decided exactly.
     marked = maybe_member(named, "doc_id", materialize(dropped, "dropped"), "doubtful")
     sure = marked.where("NOT doubtful").select(*COLUMNS)
-    kept = links.where("doc_id = cluster_id").select("doc_id").distinct()
-    first = Window.partitionBy("doc_id").orderBy(F.sha2(F.coalesce("text", F.lit("")), 256), "lang", "source", "n_chars")
-    rest = marked.where("doubtful").join(kept, "doc_id", "left_semi").withColumn("_rn", F.row_number().over(first)).where("_rn = 1").select(*COLUMNS)
+    kept = links.where(first).select("doc_id", "digest").distinct()
+    order = Window.partitionBy("doc_id", "digest").orderBy("lang", "source", "n_chars")
+    rest = marked.where("doubtful").withColumn("digest", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
+    rest = rest.join(kept, ["doc_id", "digest"], "left_semi").withColumn("_rn", F.row_number().over(order)).where("_rn = 1").select(*COLUMNS)
     return sure.unionByName(rest).unionByName(docs.where("doc_id IS NULL").select(*COLUMNS))
 
 

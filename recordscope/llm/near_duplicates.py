@@ -11,14 +11,16 @@ number of linked rows and one edge of a shallow tree for each linked cluster.
 
 Buckets above BLOCK members are cut into blocks, and each pair of blocks is a
 task of its own. Of buckets with the same members, only that of the first band
-is read. Texts travel to the buckets once per bucket that is read.
+is read. A class's text, one row of it, travels to the buckets once per bucket
+that is read.
 
 Words are lower-cased runs between white space; a text of fewer than n words
 is one n-gram of all its words; one without words links to equal texts only.
 
 Defined results: a null text is an empty one; a null key is left out, as it
-can't be told apart from others; of rows with equal keys and different texts,
-that with the smallest digest counts; an empty table gives no rows; extra columns are ignored.
+can't be told apart from others; rows with equal keys are rows of their own,
+also if their texts differ, and a class with the key of another is a class of
+its own; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -174,65 +176,82 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows.sort()
         ids, copies, bands, blocks, texts = zip(*rows)
         found = _compare(key[0], key[2], key[3], list(ids), np.array(copies), np.array(bands), np.array(blocks), list(texts))
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], ["class_id", "n", "parent"])
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], ["own", "n", "parent"])
 
     current, rows = None, []
     for b in batches:
-        columns = [b[c].to_pylist() for c in (*KEY, "class_id", "copies", "bands", "block", "content")]
-        for *key, class_id, copies, bands, block, text in zip(*columns):
+        columns = [b[c].to_pylist() for c in (*KEY, "own", "copies", "bands", "block", "content")]
+        for *key, own, copies, bands, block, text in zip(*columns):
             if key != current:
                 if len(rows) > 1:
                     yield result(tuple(current), rows)
                 current, rows = key, []
-            rows.append((class_id, copies, bands, block, text))
+            rows.append((own, copies, bands, block, text))
     if len(rows) > 1:
         yield result(tuple(current), rows)
 
 
-def jaccard_links(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, class_id, cluster_id, n_copies, n_links) of every row.
-
-    class_id: the smallest id with an equal text; cluster_id: the smallest id
-    that links lead to; n_copies: rows of the class; n_links: other rows with
-    an equal text or a similarity at or above the threshold.
-    """
+def row_links(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """What jaccard_links gives, with digest, the row's text as SHA-256, and leads: whether its class stands for its cluster."""
     spark = docs.sparkSession
     small_batches(spark)
     content = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), content.alias("text"), F.unhex(F.sha2(content, 256)).alias("digest"))
-    if not rows.groupBy("id").count().where("count > 1").isEmpty():
-        chosen = rows.groupBy("id").agg(F.min("digest").alias("digest"))
-        rows = rows.join(chosen, ["id", "digest"]).select("id", "text", "digest")
     signed = rows.mapInArrow(_sign, "id long, digest binary, bands array<long>")
     classes = materialize(signed.groupBy("digest").agg(F.min("id").alias("class_id"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "classes")
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
+    # A class goes by its smallest id, or by its place in order if classes share one; the smallest of a cluster stands for it either way.
+    shared = not classes.groupBy("class_id").count().where("count > 1").isEmpty()
+    if shared:
+        classes = materialize(classes.orderBy("class_id", "digest").withColumn("own", F.monotonically_increasing_id()), "classes")
+    else:
+        classes = classes.withColumn("own", F.col("class_id"))
+
     # Buckets, without those whose members are those of an earlier band's bucket.
-    spread = classes.where(F.col("bands").isNotNull()).select("class_id", F.posexplode("bands").alias("band", "hash")).select("class_id", F.xxhash64("band", "hash").alias("bucket"), F.col("band").cast("short").alias("band"))
-    mixed = F.xxhash64("class_id")
+    spread = classes.where(F.col("bands").isNotNull()).select("own", F.posexplode("bands").alias("band", "hash")).select("own", F.xxhash64("band", "hash").alias("bucket"), F.col("band").cast("short").alias("band"))
+    mixed = F.xxhash64("own")
     buckets = spread.groupBy("bucket").agg(F.count("*").alias("members"), F.bit_xor(mixed).alias("x"), F.min("band").alias("band")).where("members > 1")
     buckets = buckets.groupBy("members", "x").agg(F.min(F.struct("band", "bucket")).alias("b")).select("b.bucket", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"), "members")
     buckets = materialize(buckets, "buckets")
     hot = hot_keys(buckets, "bucket", "members", classes.count())
     members = salted_lookup(maybe_member(spread, "bucket", buckets, "kept").where("kept").drop("kept"), buckets.select("bucket", "blocks"), "bucket", hot, mixed)
-    block = F.pmod(F.xxhash64("class_id", F.lit("block")), F.col("blocks")).cast("int")
+    block = F.pmod(F.xxhash64("own", F.lit("block")), F.col("blocks")).cast("int")
     members = members.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    members = members.select("band", "bucket", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "class_id")
+    members = members.select("band", "bucket", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "own")
 
-    # Texts go along once per bucket.
-    held = members.select("class_id").distinct().join(classes, "class_id").select("class_id", "copies", "bands")
+    # Texts go along once per bucket, from one row of each class.
+    held = members.select("own").distinct().join(classes, "own").select("own", "class_id", "digest", "copies", "bands")
     held = materialize(held, "held")
-    texts = maybe_member(rows.select(F.col("id").alias("class_id"), F.col("text").alias("content")), "class_id", held, "held").where("held").drop("held").join(held, "class_id")
-    dealt = members.join(texts, "class_id").repartition(parts, *KEY).sortWithinPartitions(*KEY)
-    verified = materialize(dealt.select(*KEY, "class_id", "copies", "bands", "block", "content").mapInArrow(_verify, "class_id long, n long, parent long"), "verified")
-
-    counts = verified.groupBy("class_id").agg(F.sum("n").alias("linked"))
-    clusters = min_labels(verified.where("class_id <> parent").select(F.col("class_id").alias("src"), F.col("parent").alias("dst")), "src", "dst")
-    known = classes.select("digest", "class_id", "copies").join(counts, "class_id", "left").join(clusters.select(F.col("node").alias("class_id"), "label"), "class_id", "left")
-    known = known.select("digest", "class_id", "copies", F.coalesce("linked", F.lit(0)).alias("linked"), F.coalesce("label", "class_id").alias("cluster_id"))
+    texts = maybe_member(rows.select(F.col("id").alias("class_id"), "digest", F.col("text").alias("content")), "class_id", held, "held").where("held")
+    texts = texts.groupBy("digest").agg(F.first("content").alias("content")).join(held.drop("class_id"), "digest").drop("digest")
+    dealt = members.join(texts, "own").repartition(parts, *KEY).sortWithinPartitions(*KEY)
+    verified = materialize(dealt.select(*KEY, "own", "copies", "bands", "block", "content").mapInArrow(_verify, "own long, n long, parent long"), "verified")
+
+    counts = verified.groupBy("own").agg(F.sum("n").alias("linked"))
+    clusters = min_labels(verified.where("own <> parent").select(F.col("own").alias("src"), F.col("parent").alias("dst")), "src", "dst")
+    known = classes.select("own", "digest", "class_id", "copies").join(counts, "own", "left").join(clusters.select(F.col("node").alias("own"), "label"), "own", "left")
+    known = known.select("own", "digest", "class_id", "copies", F.coalesce("linked", F.lit(0)).alias("linked"), F.coalesce("label", "own").alias("label"))
+    if shared:
+        sizes = materialize(clusters.groupBy("label").count(), "sizes")
+        names = classes.select(F.col("own").alias("label"), F.col("class_id").alias("cluster_id"))
+        known = salted_lookup(known, names, "label", hot_keys(sizes, "label", "count", classes.count()), mixed)
+    else:
+        known = known.withColumn("cluster_id", F.col("label"))
+    known = known.select("digest", "class_id", "cluster_id", "copies", "linked", (F.col("own") == F.col("label")).alias("leads"))
     hot_classes = hot_keys(classes, "digest", "copies", classes.count())
     out = salted_lookup(rows.select("id", "digest"), known, "digest", hot_classes, F.xxhash64("id"))
-    return out.select(F.col("id").alias(key), "class_id", "cluster_id", F.col("copies").alias("n_copies"), (F.col("linked") + F.col("copies") - 1).alias("n_links"))
+    return out.select(F.col("id").alias(key), "class_id", "cluster_id", F.col("copies").alias("n_copies"), (F.col("linked") + F.col("copies") - 1).alias("n_links"), "digest", "leads")
+
+
+def jaccard_links(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, class_id, cluster_id, n_copies, n_links) of every row.
+
+    class_id: the smallest id with an equal text; cluster_id: the smallest id
+    that links lead to; n_copies: rows of the class; n_links: other rows with
+    an equal text or a similarity at or above the threshold.
+    """
+    return row_links(docs, key, text).drop("digest", "leads")
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -215,6 +215,19 @@ def test_large_buckets_are_cut_into_blocks(spark, monkeypatch):
     assert {(r.n_links, r.cluster_id) for r in out} == {(39, 0)}
 
 
+def test_repeated_rows_and_ids_take_part_in_links(spark):
+    body = " ".join(f"w{k}" for k in range(100))
+    other = " ".join(f"v{k}" for k in range(100))
+    rows = [(1, body)] * 3 + [(2, f"{body} end"), (2, "a text of its own, linked to nothing"), (3, other), (2, f"{other} end"), (9, "a text of its own, linked to nothing")]
+    random.Random(3).shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    out = sorted(tuple(r) for r in near_duplicates.jaccard_links(df).collect())
+    assert out == sorted([(1, 1, 1, 3, 3)] * 3 + [(2, 2, 1, 1, 3), (2, 2, 2, 2, 1), (9, 2, 2, 2, 1), (3, 3, 2, 1, 1), (2, 2, 2, 1, 1)])
+    # Without shared ids, a row that is there k times still counts once in its bucket.
+    few = spark.createDataFrame([(1, body)] * 50 + [(2, f"{body} end")], "doc_id long, text string")
+    assert {tuple(r) for r in near_duplicates.jaccard_links(few).collect()} == {(1, 1, 1, 50, 50), (2, 2, 1, 1, 50)}
+
+
 def test_bands_meet_the_recall():
     bands, rows = near_duplicates.bands_and_rows(0.8, 0.9999)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.9999

@@ -69,3 +69,10 @@ def test_stages_take_empty_tables_and_null_ids(spark, tmp_path):
         for _, stage in corpus_pipeline.STAGES[:3]:
             docs = stage(spark, docs, str(tmp_path))
             assert docs.count() == len(rows)
+
+
+def test_unlike_texts_of_one_id_stay(spark, tmp_path):
+    body = " ".join(f"w{k}" for k in range(60))
+    rows = [(7, body, "en", "s", 1), (7, "quite another text", "en", "s", 1), (7, "quite another text", "en", "s", 1), (8, f"{body} end", "en", "s", 1), (9, "alone", "en", "s", 1)]
+    out = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.text) for r in out) == [(7, "quite another text"), (7, body), (9, "alone")]
