@@ -53,12 +53,20 @@ def either_case(word: str) -> str:
 ASSIGN = "(" + "|".join([*map(either_case, ("password", "passwd", "secret", "token")), either_case("api") + "_?" + either_case("key")]) + ")[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 BASE = (Rule("assign", 1, ASSIGN, 2, 8), Rule("access", 1, "AKIA[A-Z0-9]+", 0, 16, "AKIA"), Rule("hex", 1, "[0-9a-f]+", 0, 32))
 #: Public formats of further secrets.
-RULES = (
+TOKENS = (
     *BASE,
     Rule("github", 1, "gh[pousr]_[A-Za-z0-9]+", 0, 40, "gh"),
     Rule("jwt", 1, "eyJ[A-Za-z0-9_-]+[.]eyJ[A-Za-z0-9_-]+[.][A-Za-z0-9_-]+", 0, 40, "eyJ"),
-    Rule("pem", 1, "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1, "-----BEGIN "),
 )
+PEM = "-----BEGIN [A-Z ]*PRIVATE KEY-----"
+# A key's lines may be joined by a written \n. Without an END line, a key ends with its base64 lines, of which the last may be short.
+_GAP = r"(?:\s|\\[nr])*+"
+_HEADERS = rf"(?:{_GAP}(?:Proc-Type|DEK-Info): [^\n\\]*+)*+"
+_BODY = rf"(?:{_GAP}[A-Za-z0-9+/]{{16,}}+={{0,2}})++(?:{_GAP}[A-Za-z0-9+/]++={{0,2}})?+"
+KEY_BLOCK = rf"{PEM}(?:(?:(?!-----)[\s\S])*+-----END [A-Z ]*PRIVATE KEY-----|{_HEADERS}(?:{_BODY})?+)"
+RULES = (*TOKENS, Rule("pem", 2, KEY_BLOCK, 0, 1, "-----BEGIN "))
+#: The query's SQL is fixed: its pem rule is the BEGIN line alone.
+SQL_RULES = (*TOKENS, Rule("pem", 1, "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1, "-----BEGIN "))
 FOUND = "array<struct<rule:string,start:int,end:int>>"
 
 
@@ -176,4 +184,4 @@ SELECT doc_id, {', '.join(f"len(list_filter(found, lambda x: x.r = '{r.kind}')):
 FROM f"""
 
 
-OP6_SQL = _duck(RULES)
+OP6_SQL = _duck(SQL_RULES)
