@@ -73,12 +73,18 @@ def primitive_repeats(fields: DataFrame, base: str = "base", threshold: int = 4,
     return whole.select(base, (F.col("start") + F.col("_skip") * size).alias("start"), "end", (F.col("repeats") - F.col("_skip")).alias("repeats"), "capacity", "shape").where(F.col("repeats") >= threshold)
 
 
-def complex_repeats(fields: DataFrame, base: str = "base", threshold: int = 3, most: int = 8, pointer_size: int = 8) -> DataFrame:
-    """Repeats of windows of 2 to ``most`` unlike fields, without those inside of a repeat of the same shape."""
+def complex_repeats(fields: DataFrame, base: str = "base", threshold: int = 3, most: int | None = None, pointer_size: int = 8) -> DataFrame:
+    """Repeats of windows of 2 or more unlike fields (at most ``most``, if given), without those inside of a repeat of the same shape.
+
+    A window has at most a base's fields over the threshold, or over 2 if that
+    is more; the largest base sets the number of capacities.
+    """
+    if most is None:
+        largest = fields.groupBy(base).count().agg(F.max("count")).first()[0] or 0
+        most = largest // max(2, threshold)
     out = None
-    for capacity in range(2, most + 1):
+    for capacity in range(2, max(2, most) + 1):
         found = repeats(field_windows(fields, capacity, base, pointer_size=pointer_size), capacity, threshold, base)
         out = found if out is None else out.unionByName(found)
-    # Rotations of a pattern are inside of the repeat that starts first; it comes first in order of start, then of capacity.
-    order = Window.partitionBy(base).orderBy("start", F.desc("end"), "capacity").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy(base, "shape").orderBy("start", F.desc("end"), "capacity").rowsBetween(Window.unboundedPreceding, -1)
     return out.withColumn("_reach", F.max("end").over(order)).where(F.col("_reach").isNull() | (F.col("end") > F.col("_reach"))).drop("_reach")

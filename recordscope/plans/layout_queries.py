@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import functions as S
@@ -160,7 +160,10 @@ i AS (SELECT *, sum(brk) OVER (PARTITION BY base, lane ORDER BY idx) AS island F
 e AS (SELECT base, start::BIGINT AS start, (start + repeats * span)::BIGINT AS "end", repeats::BIGINT AS repeats FROM r WHERE repeats >= 2)
 SELECT base, start, "end", repeats FROM (SELECT *, max("end") OVER (PARTITION BY base ORDER BY start, "end" DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM e) WHERE reach IS NULL OR "end" > reach""")
 def sliding_repeat_complex(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.complex_repeats(bands(spark, sf_dir), threshold=2, most=2).select("base", "start", "end", "repeats")
+    """Repeats of pairs, without those inside of any other, as the SQL has it: less than the operator finds."""
+    found = windows.complex_repeats(bands(spark, sf_dir), threshold=2, most=2).select("base", "start", "end", "repeats")
+    before = Window.partitionBy("base").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    return found.withColumn("_reach", F.max("end").over(before)).where("_reach IS NULL OR end > _reach").drop("_reach")
 
 
 @query(f"""WITH {accesses_sql("l_partkey")}, {MODE_SQL}, l AS (SELECT base, string_agg("offset" || ':' || size, ',' ORDER BY "offset") AS layout_key FROM mode GROUP BY base) SELECT layout_key, min(base) AS base, count(*)::BIGINT AS bases FROM l GROUP BY 1""")

@@ -100,6 +100,16 @@ def test_repeats(spark):
     assert rows(windows.complex_repeats(df), "base", "start", "end", "repeats", "capacity") == [(2, 0, 24, 3, 2)]
 
 
+def test_repeats_of_wide_records_and_nested_ones(spark):
+    wide = [(1, 40 * k + 4 * j, 4, f"k{j}") for k in range(3) for j in range(10)]
+    # Three records of (a b a b a b c d): the pairs inside of the longest repeat stay.
+    nested = [(2, 32 * k + 4 * j, 4, c) for k in range(3) for j, c in enumerate("abababcd")]
+    df = spark.createDataFrame(wide + nested, "base int, offset int, size int, kind string")
+    found = rows(windows.complex_repeats(df), "base", "start", "end", "repeats", "capacity")
+    assert (1, 0, 120, 3, 10) in found and (2, 0, 96, 3, 8) in found
+    assert {(2, 32 * k, 32 * k + 24, 3, 2) for k in range(3)} <= set(found)
+
+
 def test_sizes_spread_and_conflict(spark):
     e = table(spark, "src string, dst string", ("a", "b"), ("b", "c"), ("x", "c"), ("c", "d"))
     known = table(spark, "node string, size long", ("a", 8), ("x", 16))
