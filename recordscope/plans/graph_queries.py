@@ -186,7 +186,7 @@ SELECT node, size::BIGINT AS size, conflict FROM n UNION ALL SELECT node, size,
 def size_propagate(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = table(spark, sf_dir, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("node"), ((F.col("r_regionkey") % 2 + 1) * 16).cast("long").alias("size"))
     b = table(spark, sf_dir, "nation").where("n_nationkey % 5 = 0").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("node"), F.lit(16).cast("long").alias("size"))
-    return sizes.propagate_sizes(geography(spark, sf_dir), a.unionByName(b), passes=(True,))
+    return sizes.propagate_sizes(geography(spark, sf_dir), a.unionByName(b))
 
 
 TYPES_SQL = """t AS (SELECT 'P' || p_partkey AS dt, CASE WHEN p_partkey % 10 = 0 THEN 'struct' WHEN p_partkey % 10 = 1 THEN 'union' WHEN p_partkey % 10 IN (2, 3, 4, 5) THEN 'pointer' WHEN p_partkey % 10 = 6 THEN 'typedef' ELSE 'primitive' END AS kind, CASE WHEN p_size % 2 = 0 THEN '/DWARF/a' ELSE '/lib' END AS category,

@@ -110,6 +110,11 @@ def test_repeats_of_wide_records_and_nested_ones(spark):
     assert {(2, 32 * k, 32 * k + 24, 3, 2) for k in range(3)} <= set(found)
 
 
+def test_sizes_spread_backward_too(spark):
+    e = table(spark, "src string, dst string", ("a", "b"), ("b", "c"), ("y", "c"))
+    assert rows(sizes.propagate_sizes(e, table(spark, "node string, size long", ("b", 8))), "node", "size", "conflict") == [("a", 8, False), ("b", 8, False), ("c", 8, False), ("y", 8, False)]
+
+
 def test_sizes_spread_and_conflict(spark):
     e = table(spark, "src string, dst string", ("a", "b"), ("b", "c"), ("x", "c"), ("c", "d"))
     known = table(spark, "node string, size long", ("a", 8), ("x", 16))
