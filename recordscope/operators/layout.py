@@ -22,8 +22,8 @@ from .intervals import conflicted, cross_conflicted
 
 Fields = frozenset[tuple[int, int]]
 
-#: Nodes of a path and paths of a component that are walked; beyond, breadth-first merging alone decides.
-PATH_NODES, PATHS = 32, 2_000
+#: Paths of a component, of any length; beyond, it is an error.
+PATHS = 2_000
 
 
 def clash(a: Iterable[tuple[int, int]], b: Iterable[tuple[int, int]]) -> bool:
@@ -45,7 +45,7 @@ def walk_path(path: list, fields: dict) -> tuple[list[list], list[tuple]]:
 
 
 def paths_of(edges: dict, nodes: list) -> list[list]:
-    """Simple paths from sources to sinks, then single steps for what they leave out; in order of keys."""
+    """Simple paths from sources to sinks, then single steps for what they leave out; in order of keys. Raises if there are more than PATHS."""
     before: dict = {}
     for a, outs in edges.items():
         for b in outs:
@@ -53,13 +53,22 @@ def paths_of(edges: dict, nodes: list) -> list[list]:
     found: list[list] = []
     starts = [n for n in nodes if n not in before and edges.get(n)] or nodes[:1]
     for start in starts:
-        stack = [[start]]
-        while stack and len(found) < PATHS:
-            path = stack.pop()
-            outs = [b for b in sorted(edges.get(path[-1], ()), reverse=True) if b not in path]
-            if not outs or len(path) >= PATH_NODES:
-                found.append(path)
-            stack += [[*path, b] for b in outs] if len(path) < PATH_NODES else []
+        path, on, ahead = [], set(), [iter([start])]
+        while ahead:
+            node = next(ahead[-1], None)
+            if node is None:
+                ahead.pop()
+                if path:
+                    on.remove(path.pop())
+                continue
+            path.append(node)
+            on.add(node)
+            outs = [b for b in sorted(edges.get(node, ())) if b not in on]
+            if not outs:
+                if len(found) == PATHS:
+                    raise ValueError(f"more than {PATHS} paths in the component of {nodes[0]}")
+                found.append(list(path))
+            ahead.append(iter(outs))
     covered = {n for p in found for n in p}
     return found + [[n] for n in nodes if n not in covered]
 

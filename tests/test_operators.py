@@ -153,6 +153,17 @@ def test_conflicting_chain_is_cut_once(spark):
     assert rows(labels, "node", "label") == [("a", "a"), ("b", "a"), ("c", "c")]
 
 
+def test_chains_are_walked_whole_and_too_many_paths_raise():
+    chain = [f"n{k:04}" for k in range(500)]
+    assert layout.paths_of({a: {b} for a, b in zip(chain, chain[1:])}, chain) == [chain]
+    assert layout.paths_of({"a": {"b", "c"}, "b": {"d"}, "c": {"d", "a"}}, list("abcd")) == [["a", "b", "d"], ["a", "c", "d"]]
+    ladder: dict = {}
+    for k in range(12):  # 4096 paths
+        ladder |= {f"{k:02}": {f"{k:02}a", f"{k:02}b"}, f"{k:02}a": {f"{k + 1:02}"}, f"{k:02}b": {f"{k + 1:02}"}}
+    with pytest.raises(ValueError):
+        layout.paths_of(ladder, sorted(ladder))
+
+
 def test_no_component_keeps_a_conflict_between_nodes(spark):
     rng = random.Random(5)
     e = [(f"n{rng.randrange(30)}", f"n{rng.randrange(30)}") for _ in range(40)]
