@@ -101,6 +101,24 @@ def library_encoder(path: str, end_id: int) -> Encode:
     return lambda texts: [x + end for x in memo.encode(texts)]
 
 
+def file_encoder(path: str, end_id: int) -> Encode:
+    """library_encoder between the file's added tokens, which get their own ids wherever a text has them, as by the library's defaults."""
+    encode = library_encoder(path, end_id)
+    with open(path, encoding="utf-8") as f:
+        added = {x["content"]: array("I", [x["id"]]).tobytes() for x in json.load(f)["added_tokens"]}
+    if not added:
+        return encode
+    at = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")")
+    end = array("I", [end_id]).tobytes()
+
+    def run(texts: list[str]) -> list[bytes]:
+        split = [at.split(t) for t in texts]  # added tokens are at the odd places
+        between = iter(encode([x for parts in split for x in parts[::2]]))
+        return [b"".join(added[x] if k % 2 else next(between)[: -len(end)] for k, x in enumerate(parts)) + end for parts in split]
+
+    return run
+
+
 _ENCODERS: dict[tuple[str, int], Encode] = {}
 
 
@@ -118,7 +136,7 @@ def tokenise(docs: DataFrame, path: str, end_id: int, capacity: int) -> DataFram
     """The pieces of each whole text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (path, end_id) not in _ENCODERS:
-            _ENCODERS[path, end_id] = library_encoder(path, end_id)
+            _ENCODERS[path, end_id] = file_encoder(path, end_id)
         encode = _ENCODERS[path, end_id]
         for b in batches:
             rows = [(k, *x) for k, ids in enumerate(encode(texts_of(b))) for x in cut(ids, capacity)]

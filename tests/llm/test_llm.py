@@ -123,6 +123,16 @@ def test_packing_ids_equal_the_tokenizers_library():
     assert encode(texts) == want and encode(texts) == want
 
 
+def test_packing_ids_equal_the_library_defaults_at_added_tokens():
+    tokenizers = pytest.importorskip("tokenizers")
+    path = P.path("byte_bpe_50k.json")
+    library = tokenizers.Tokenizer.from_file(path)
+    encode = packing.file_encoder(path, 2)
+    texts = [t or "" for t in ODD] + ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>  y", "<|endoftext|", " <|endoftext|>\n\nz "]
+    want = [np.array([*library.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes() for t in texts]
+    assert encode(texts) == want and np.frombuffer(want[len(ODD) + 1], "<u4").tolist() == [50256, 2]
+
+
 def test_packing_bounds_hold():
     rng = np.random.default_rng(0)
     for _ in range(20):
