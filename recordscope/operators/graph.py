@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import materialize
+from ..storage import materialize, release, replace, union_all
 
 
 def dedup_edges(edges: DataFrame, src: str = "src", dst: str = "dst", first_by: str = "ord", kind: str = "edge_type") -> DataFrame:
@@ -39,13 +39,17 @@ def min_labels(edges: DataFrame, src: str = "src", dst: str = "dst", nodes: Data
     while True:
         around = near.join(labels.select(F.col("node").alias("u"), "label"), "u").groupBy(F.col("v").alias("node")).agg(F.min("label").alias("near"))
         lower = labels.join(around, "node", "left").select("node", "label", F.least("label", F.coalesce("near", "label")).alias("new"))
-        lower = materialize(lower, "labels")
+        lower = replace(labels, lower, "labels")
         if lower.where("new <> label").isEmpty():
+            release(near)
             return lower.select("node", "label")
         hop = lower.select(F.col("node").alias("new"), F.col("new").alias("hop")).where("new <> hop")
-        labels = materialize(lower.select("node", "new").join(hop, "new", "left").select("node", F.least("new", F.coalesce("hop", "new")).alias("label")), "labels")
+        labels = replace(lower, lower.select("node", "new").join(hop, "new", "left").select("node", F.least("new", F.coalesce("hop", "new")).alias("label")), "labels")
 
 
+#: Rounds of a search that are kept as tables of their own.
+MERGE = 8
+
 #: Edges that carry data; ALIAS edges do not.
 FLOW = ("CALL", "RETURN", "DATAFLOW")
 
@@ -79,8 +83,9 @@ def sources_and_sinks(edges: DataFrame) -> DataFrame:
 def reach(edges: DataFrame, seeds: DataFrame, forward: bool = True, depth: int | None = None) -> DataFrame:
     """(seed, node, depth): all nodes reached from each seed (itself at 0) and the least number of steps.
 
-    One frontier join a round against the visited set; a round's result is
-    written, so the plan does not grow.
+    One frontier join a round against the visited set, which is one table that
+    takes in the rounds since whenever they number MERGE, so a round reads
+    a bounded number of tables however deep the graph is.
     """
     a, b = ("src", "dst") if forward else ("dst", "src")
     step = materialize(edges.select(F.col(a).alias("node"), F.col(b).alias("to")).distinct(), "steps")
@@ -89,17 +94,18 @@ def reach(edges: DataFrame, seeds: DataFrame, forward: bool = True, depth: int |
     while depth is None or k < depth:
         k += 1
         found = front.join(step, "node").select("seed", F.col("to").alias("node")).distinct()
-        seen = visited[0].select("seed", "node")
-        for v in visited[1:]:
-            seen = seen.unionByName(v.select("seed", "node"))
+        seen = union_all(v.select("seed", "node") for v in visited)
         front = materialize(found.join(seen, ["seed", "node"], "left_anti").withColumn("depth", F.lit(k)), "front")
         if front.isEmpty():
+            release(front)
             break
         visited.append(front)
-    out = visited[0]
-    for v in visited[1:]:
-        out = out.unionByName(v)
-    return out
+        if len(visited) > MERGE:
+            whole = materialize(union_all(visited), "visited")
+            release(*visited[:-1])
+            visited = [whole]
+    release(step)
+    return union_all(visited)
 
 
 def path_exists(edges: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -134,7 +140,7 @@ def simple_paths(edges: DataFrame, max_length: int = 16) -> DataFrame:
     step = edges.select(F.col("src").alias("at"), F.col("dst").alias("to")).distinct()
     sinks = ends.where("role = 'sink'").select(F.col("node").alias("at"))
     front = ends.where("role = 'source'").select(F.col("node").alias("at"), F.array("node").alias("path"))
-    done = []
+    done = [front.select("path").where("false")]
     for _ in range(max_length):
         front = materialize(front, "paths")
         if front.isEmpty():
@@ -144,10 +150,7 @@ def simple_paths(edges: DataFrame, max_length: int = 16) -> DataFrame:
     else:
         if not front.isEmpty():
             raise ValueError(f"paths of more than {max_length} nodes; raise max_length or split the component")
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
+    return union_all(done)
 
 
 def path_edges(paths: DataFrame) -> DataFrame:

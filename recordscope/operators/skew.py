@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,18 @@ HOT_SHARE = 0.0005
 HOT_ROWS = 200
 
 
+def unused(columns: Sequence[str], *stems: str) -> list[str]:
+    """Column names for passing use that are not among columns, in any case of letters."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for stem in stems:
+        while stem.lower() in taken:
+            stem += "_"
+        taken.add(stem.lower())
+        out.append(stem)
+    return out
+
+
 def hot_keys(counted: DataFrame, key: str, rows: str, total: int) -> DataFrame:
     """Keys with so many rows that a task of their own would be slow.
 
@@ -29,10 +43,11 @@ def salted_lookup(many: DataFrame, one: DataFrame, key: str, hot: DataFrame, spr
     Rows of a hot key are dealt by (key, salt) with the salt from spread; the
     other side holds one copy per salt for hot keys only. how: inner or left.
     """
-    mark = F.broadcast(hot.select(F.col(key).alias("_hot_key"), F.lit(True).alias("_hot")))
-    left = many.join(mark, F.col(key) == F.col("_hot_key"), "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(spread, F.lit(SALTS)).cast("int")).otherwise(F.lit(0))).drop("_hot_key", "_hot")
-    right = one.join(mark, F.col(key) == F.col("_hot_key"), "left").withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("_hot_key", "_hot")
-    return left.join(right, [key, "_salt"], how).drop("_salt")
+    name, flag, salt = unused([*many.columns, *one.columns], "_hot_key", "_hot", "_salt")
+    mark = F.broadcast(hot.select(F.col(key).alias(name), F.lit(True).alias(flag)))
+    left = many.join(mark, F.col(key) == F.col(name), "left").withColumn(salt, F.when(F.col(flag), F.pmod(spread, F.lit(SALTS)).cast("int")).otherwise(F.lit(0))).drop(name, flag)
+    right = one.join(mark, F.col(key) == F.col(name), "left").withColumn(salt, F.explode(F.when(F.col(flag), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop(name, flag)
+    return left.join(right, [key, salt], how).drop(salt)
 
 
 #: Bits of the map that maybe_member broadcasts: 8 MB whatever the number of keys.
@@ -46,9 +61,10 @@ def maybe_member(rows: DataFrame, key: str, keys: DataFrame, name: str) -> DataF
     A bitmap over hashed keys of a fixed size is broadcast. It spares a shuffle
     of the rows that are surely not members; true needs an exact join after.
     """
-    at = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << MAP_BITS))
-    pages = keys.select(at(F.col(key)).alias("_at")).groupBy(F.expr(f"_at div {_PAGE}").alias("_page")).agg(F.bitmap_construct_agg((F.col("_at") % _PAGE)).alias("_map"))
-    placed = rows.withColumn("_at", at(F.col(key))).withColumn("_page", F.expr(f"_at div {_PAGE}"))
-    byte = F.conv(F.hex(F.expr(f"substring(_map, cast(_at % {_PAGE} div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    bit = F.expr("1") == F.call_function("shiftright", byte, (F.col("_at") % 8).cast("int")).bitwiseAND(1)
-    return placed.join(F.broadcast(pages), "_page", "left").withColumn(name, F.coalesce(bit, F.lit(False))).drop("_at", "_page", "_map")
+    at, page, held = unused(rows.columns, "_at", "_page", "_map")
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << MAP_BITS))
+    pages = keys.select(place(F.col(key)).alias(at)).groupBy(F.expr(f"{at} div {_PAGE}").alias(page)).agg(F.bitmap_construct_agg((F.col(at) % _PAGE)).alias(held))
+    placed = rows.withColumn(at, place(F.col(key))).withColumn(page, F.expr(f"{at} div {_PAGE}"))
+    byte = F.conv(F.hex(F.expr(f"substring({held}, cast({at} % {_PAGE} div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    bit = F.expr("1") == F.call_function("shiftright", byte, (F.col(at) % 8).cast("int")).bitwiseAND(1)
+    return placed.join(F.broadcast(pages), page, "left").withColumn(name, F.coalesce(bit, F.lit(False))).drop(at, page, held)
