@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recordscope.llm import near_duplicates, packing, quality, secrets
-from recordscope.llm.tables import read, small_batches
+from recordscope.llm.tables import read
 from recordscope.operators.skew import maybe_member
 from recordscope.storage import materialize
 
@@ -23,7 +23,6 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that the quality classifier, fitted on the labels, does not reject."""
-    small_batches(spark)
     model = quality.fit(docs, read(spark, sf_dir, "labels"))
     return quality.score(docs.select(*COLUMNS), model).where(F.col("score") >= quality.THRESHOLD).select(*COLUMNS)
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .tables import read, small_batches, texts_of
+from .tables import read, small, texts_of
 from .words import Memo
 
 #: States that are kept at once.
@@ -367,7 +367,7 @@ def encode_texts(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, ids) of each whole text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path, pattern)
-        for b in batches:
+        for b in small(batches):
             ids = pa.array([x.tolist() for x in bpe.encode_texts(texts_of(b))], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([b["doc_id"], ids], ["doc_id", "ids"])
 
@@ -378,7 +378,7 @@ def decode_ids(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, text) of (doc_id, ids); null ids decode to the empty text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path, pattern)
-        for b in batches:
+        for b in small(batches):
             texts = ["".join(bpe.decode_stream(x[k : k + DECODE_IDS] for k in range(0, len(x), DECODE_IDS))) for x in (y or [] for y in b["ids"].to_pylist())]
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(texts, pa.string())], ["doc_id", "text"])
 
@@ -389,7 +389,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Digests of each text's ids and of what the ids decode to, made in one pass."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path, pattern)
-        for b in batches:
+        for b in small(batches):
             counts, encoded, decoded = [], [], []
             for ids in bpe.encode_texts(texts_of(b)):
                 digest = hashlib.sha256()
@@ -406,5 +406,4 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    small_batches(spark)
     return round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)

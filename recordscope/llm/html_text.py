@@ -32,7 +32,7 @@ from xxhash import xxh3_128_hexdigest
 
 from ..operators.skew import hot_keys, salted_lookup
 from ..storage import materialize
-from .tables import read, small_batches, texts_of
+from .tables import read, small, texts_of
 
 #: Winning paths are broadcast up to this many hosts, as hashes of 32 characters; beyond, they are joined by shuffle.
 BROADCAST_HOSTS = 50_000
@@ -228,7 +228,7 @@ class Page:
 
 
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in small(batches):
         votes: dict[tuple[str, str], list[float]] = {}
         for host, html in zip(texts_of(b, "host"), texts_of(b, "html")):
             page = Page(html)
@@ -243,7 +243,7 @@ def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in small(batches):
         texts = [Page(html).text(path) for html, path in zip(texts_of(b, "html"), b["path"].to_pylist())]
         yield pa.RecordBatch.from_arrays([b["page_id"], b["url"], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
@@ -268,5 +268,4 @@ def extract_texts(pages: DataFrame) -> DataFrame:
 
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     return extract_texts(read(spark, sf_dir, "pages"))

@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .tables import read, small_batches, texts_of
+from .tables import read, small, texts_of
 
 #: Bytes of a sample, samples of a chunk, and samples from one keyframe to the next.
 UNIT, CHUNK_SAMPLES, KEYFRAME_EVERY = 64, 64, 256
@@ -176,7 +176,7 @@ def payload_of(data: bytes) -> bytes:
 
 
 def _mux_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in small(batches):
         raw = [x.encode() for x in texts_of(b)]
         yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(map(len, raw), pa.int64()), pa.array([mux(padded(x)) for x in raw], pa.binary())], ["doc_id", "n_bytes", "media"])
 
@@ -193,7 +193,7 @@ PROBED = {
 
 
 def _probe_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in small(batches):
         rows = []
         for media in b["media"].to_pylist():
             info, payload = probe(media), payload_of(media)
@@ -208,6 +208,5 @@ def probe_media(media: DataFrame) -> DataFrame:
 
 
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     found = probe_media(mux_texts(read(spark, sf_dir, "documents")))
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")

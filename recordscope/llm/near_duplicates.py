@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from ..operators.graph import min_labels
 from ..operators.skew import hot_keys, maybe_member, salted_lookup
 from ..storage import materialize
-from .tables import read, small_batches
+from .tables import read, small
 
 #: Words of an n-gram, least similarity, and recall of a pair at that similarity.
 NGRAM, THRESHOLD, RECALL = 5, 0.8, 0.9999
@@ -90,7 +90,7 @@ def band_hashes(hashes: np.ndarray) -> np.ndarray:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in small(batches):
         known: dict[str, list[int] | None] = {}  # copies often come together
         bands = []
         for text in b["text"].to_pylist():
@@ -194,7 +194,6 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def row_links(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """What jaccard_links gives, with digest, the row's text as SHA-256, and leads: whether its class stands for its cluster."""
     spark = docs.sparkSession
-    small_batches(spark)
     content = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), content.alias("text"), F.unhex(F.sha2(content, 256)).alias("digest"))
     signed = rows.mapInArrow(_sign, "id long, digest binary, bands array<long>")

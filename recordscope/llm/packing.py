@@ -2,19 +2,26 @@
 
 Each document's ids (its tokens and one end id) become pieces of at most the
 capacity; only longer documents are cut, and then only the first piece may be
-shorter. Full pieces are sequences of their own. The others are dealt to
-groups by hash; each group is packed by best-fit decreasing and gets a lower
-bound from dual-feasible functions. A group whose bin count meets its bound is
-certified: no packing of its documents has fewer bins. As groups that are best
-alone may still leave gaps between them, all release the documents of their
-emptier bins, which meet in new, fewer groups, and best-fit decreasing runs
-again. A round's result for a group is taken only if it needs fewer bins;
-rounds end when none does, or when all that was released met in one group.
+shorter. Pieces are dealt to partitions by their place in the table of pieces,
+not by their keys, so no key is hot. Each partition is packed by best-fit
+decreasing and gets a lower bound from dual-feasible functions. A partition
+whose bin count meets its bound is certified: no packing of its documents has
+fewer bins, and it keeps them.
+
+Partitions are then joined, FAN at a time, into larger ones, whose bin counts
+and sums of dual-feasible functions are those of their parts together. A joint
+partition is certified in the same way. One with a gap lets its parts exchange
+documents: those of each part's emptiest bins meet, best-fit decreasing runs
+again on them, and its result is taken if it needs fewer bins. So it goes on to
+the one partition of all documents, whose gap is the distance of the whole
+result from the bound. A part hands on the emptiest of the bins that it last
+packed, whatever their fill, up to about HANDED pieces, which bounds a task.
 
 Defined results: a null text is an empty one and makes one piece, the end id;
-rows with equal doc_id are packed as documents of their own; ties in length
-are broken by doc_id and piece; an empty table gives no rows; only doc_id and
-text are read.
+rows with equal doc_id, or null ones, are packed as documents of their own,
+repeated rows too; texts are encoded whole, however long; ties in length are
+broken by the place in the table; an empty table gives no rows; only doc_id
+and text are read, whatever other columns there are.
 """
 
 from __future__ import annotations
@@ -30,17 +37,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import materialize
-from .tables import read, small_batches, texts_of
+from ..storage import materialize, union_all
+from .tables import read, small, texts_of
 from .words import Memo
 
-#: Pieces that are packed in one task, as a mean.
-GROUP_PIECES = 8_000
-#: Groups release the documents of bins with less than this share of the capacity.
-RELEASED = 7 / 8
-#: Released documents meet in groups of so many times the size.
-EXCHANGE = 4
+#: Pieces of a first partition, as a mean; partitions of the next one; pieces that a part hands on to it, or one bin.
+GROUP_PIECES, FAN, HANDED = 32_000, 64, 4_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+#: Bits of a sequence's number for its bin and for its partition.
+BIN_BITS, HOME_BITS = 20, 38
 #: Dual-feasible functions of each family.
 DFF_STEPS = 64
 
@@ -122,6 +127,13 @@ def file_encoder(path: str, end_id: int) -> Encode:
 _ENCODERS: dict[tuple[str, int], Encode] = {}
 
 
+def encoder(path: str, end_id: int) -> Encode:
+    """One file_encoder per worker process, with all words it remembers."""
+    if (path, end_id) not in _ENCODERS:
+        _ENCODERS[path, end_id] = file_encoder(path, end_id)
+    return _ENCODERS[path, end_id]
+
+
 def cut(ids: bytes, capacity: int) -> Iterator[tuple[int, int, int, int]]:
     """(piece, start, length, crc32) of each piece."""
     total = len(ids) // 4
@@ -133,35 +145,50 @@ def cut(ids: bytes, capacity: int) -> Iterator[tuple[int, int, int, int]]:
 
 
 def tokenise(docs: DataFrame, path: str, end_id: int, capacity: int) -> DataFrame:
-    """The pieces of each whole text."""
+    """The pieces of each whole text; seat numbers the rows of the table that this is written to."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (path, end_id) not in _ENCODERS:
-            _ENCODERS[path, end_id] = file_encoder(path, end_id)
-        encode = _ENCODERS[path, end_id]
-        for b in batches:
+        from pyspark import TaskContext
+
+        encode, seat = encoder(path, end_id), TaskContext.get().partitionId() << 33
+        for b in small(batches):
             rows = [(k, *x) for k, ids in enumerate(encode(texts_of(b))) for x in cut(ids, capacity)]
-            owner, *columns = list(zip(*rows)) or [[]] * 5
+            owner, *columns = list(zip(*rows))
             typed = [pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b["doc_id"].take(pa.array(owner, pa.int64())), *typed], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            seats = pa.array(np.arange(seat, seat + len(rows)))
+            seat += len(rows)
+            yield pa.RecordBatch.from_arrays([b["doc_id"].take(pa.array(owner, pa.int64())), *typed, seats], ["doc_id", "piece", "start", "length", "ids_crc32", "seat"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES)
+    return docs.select("doc_id", "text").mapInArrow(run, f"{PIECES}, seat long")
 
 
-def lower_bound(lengths: np.ndarray, capacity: int) -> int:
-    """The largest of the bounds by total size and two families of dual-feasible functions."""
-    if not len(lengths):
-        return 0
+def feasible_functions(capacity: int) -> list[tuple[int, int]]:
+    """(family, parameter) of the dual-feasible functions in use: 0 for f_e with e, 1 for u_k with k."""
+    return [(0, e) for e in sorted({1, *range(1, capacity // 2 + 1, max(1, capacity // (2 * DFF_STEPS)))})] + [(1, k) for k in range(1, DFF_STEPS)]
+
+
+def feasible_sums(lengths: np.ndarray, capacity: int) -> list[int]:
+    """The sum of each dual-feasible function over the lengths, in 1 / scale of a capacity; sums of parts add up."""
     sizes, counts = np.unique(lengths, return_counts=True)
-    best = -(-int((sizes * counts).sum()) // capacity)
+    out = []
     # f_e: above C - e counts as C, below e as 0. u_k: (k + 1) s / C as a whole number stays, else it is rounded down, over k.
-    for e in {1, *range(1, capacity // 2 + 1, max(1, capacity // (2 * DFF_STEPS))), *sizes[sizes <= capacity // 2].tolist()}:
-        value = np.where(sizes > capacity - e, capacity, np.where(sizes < e, 0, sizes))
-        best = max(best, -(-int((value * counts).sum()) // capacity))
-    for k in range(1, DFF_STEPS):
-        scaled = (k + 1) * sizes
-        value = np.where(scaled % capacity == 0, sizes * k, scaled // capacity * capacity)  # times k * capacity / capacity
-        best = max(best, -(-int((value * counts).sum()) // (k * capacity)))
-    return best
+    for family, x in feasible_functions(capacity):
+        if family == 0:
+            value = np.where(sizes > capacity - x, capacity, np.where(sizes < x, 0, sizes))
+        else:
+            scaled = (x + 1) * sizes
+            value = np.where(scaled % capacity == 0, sizes * x, scaled // capacity * capacity)  # times x * capacity / capacity
+        out.append(int((value * counts).sum()))
+    return out
+
+
+def bound_of(sums: list[int], capacity: int) -> int:
+    """The least bins that these sums allow."""
+    return max(-(-s // (capacity if family == 0 else x * capacity)) for s, (family, x) in zip(sums, feasible_functions(capacity)))
+
+
+def lower_bound(lengths: np.ndarray, capacity: int) -> int:
+    """The largest of the bounds by total size and two families of dual-feasible functions."""
+    return bound_of(feasible_sums(lengths, capacity), capacity) if len(lengths) else 0
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -190,57 +217,83 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, offsets
 
 
-PACKED = f"{PIECES}, dealt long, turn int, home long, bin long, offset long, fill long, gap long, gained boolean"
+PACKED = f"{PIECES}, seat long, dealt long, turn int, home long, bin long, offset long, handed boolean, bins long, sums array<long>"
 
 
-def _pack(capacity: int, turn: int) -> Callable[[pa.Table], pa.Table]:
-    """Packs a group; bins that it had before (turn, home, bin) stay unless fewer will do."""
+def handed_on(bins: np.ndarray, fill: np.ndarray, most: int = HANDED) -> np.ndarray:
+    """Whether each piece lies in one of the emptiest bins: as many as hold ``most`` pieces, at least one."""
+    counts = np.bincount(bins, minlength=len(fill))
+    order = np.argsort(fill, kind="stable")
+    upto = np.cumsum(counts[order])
+    chosen = np.zeros(len(fill), bool)
+    chosen[order[: max(1, int(np.searchsorted(upto, most, "right")))]] = True
+    return chosen[bins]
+
+
+def _pack(capacity: int, turn: int, most: int) -> Callable[[pa.Table], pa.Table]:
+    """Packs a partition. Bins that it had before (turn, home, bin) stay where its gap, in the column bins, is 0, or unless fewer will do.
+
+    Gives back the pieces, and in the first row's bins the bins that it saved, or in
+    turn 0 those that it has, with the sums of the dual-feasible functions.
+    """
     def run(g: pa.Table) -> pa.Table:
-        g = g.sort_by([("doc_id", "ascending"), ("piece", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
-        lengths = g["length"].to_numpy()
-        bins, offsets = best_fit_decreasing(lengths, capacity)
-        need, had = int(bins.max()) + 1, g.group_by(["turn", "home", "bin"]).aggregate([]).num_rows if turn else None
-        gained = had is None or need < had
-        new = {"gap": np.full(len(g), (need if gained else had) - lower_bound(lengths, capacity)), "gained": np.full(len(g), gained)}
-        if gained:
-            new |= {"turn": np.full(len(g), turn, np.int32), "home": g["dealt"].to_numpy(), "bin": bins, "offset": offsets, "fill": np.bincount(bins, lengths)[bins].astype(np.int64)}
-        for name, values in new.items():
-            g = g.set_column(g.schema.get_field_index(name), name, pa.array(values))
+        g = g.sort_by([("seat", "ascending")])
+        lengths, dealt = g["length"].to_numpy(), g["dealt"].to_numpy()
+        own = [g[c].to_numpy() for c in ("turn", "home", "bin")]
+        _, old = np.unique(np.stack(own), axis=1, return_inverse=True)
+        old = old.ravel()
+        had = int(old.max()) + 1 if turn else 0
+        bins, saved = old, 0
+        if not turn or g["bins"][0].as_py() > 0:
+            new, offsets = best_fit_decreasing(lengths, capacity)
+            need = int(new.max()) + 1
+            if not turn or need < had:
+                bins, saved = new, had - need if turn else need
+                for name, values in {"turn": np.full(len(g), turn, np.int32), "home": dealt, "bin": bins, "offset": offsets}.items():
+                    g = g.set_column(g.schema.get_field_index(name), name, pa.array(values))
+        first = np.arange(len(g)) == 0
+        fill = np.bincount(bins, lengths)
+        sums = [feasible_sums(lengths, capacity)] + [None] * (len(g) - 1) if not turn else [None] * len(g)
+        for name, values in {"handed": pa.array(handed_on(bins, fill, most)), "bins": pa.array(np.where(first, saved, 0)), "sums": pa.array(sums, pa.list_(pa.int64()))}.items():
+            g = g.set_column(g.schema.get_field_index(name), name, values)
         return g
 
     return run
 
 
-def pack(pieces: DataFrame, capacity: int, group_pieces: int = GROUP_PIECES) -> DataFrame:
-    """Adds sequence_id, offset and gap to pieces, a written table.
+def pack(pieces: DataFrame, capacity: int, group_pieces: int = GROUP_PIECES, fan: int = FAN, handed: int = HANDED) -> DataFrame:
+    """Adds sequence_id, offset and gap to pieces, a written table with a number, seat, of each row.
 
-    gap: bins of the piece's last group above its lower bound; 0 certifies
-    that no packing of that group's documents has fewer.
+    gap: bins of the whole result above its lower bound; 0 certifies that no
+    packing of these documents has fewer.
     """
-    full, rest = pieces.where(F.col("length") >= capacity), pieces.where(F.col("length") < capacity)
-    groups = max(1, -(-rest.count() // group_pieces))
-    new = {"turn": F.lit(0), "gained": F.lit(False)} | {c: F.lit(0).cast("long") for c in ("home", "bin", "offset", "fill", "gap")}
-    dealt = rest.withColumn("dealt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups))).withColumns(new)
-    settled: list[DataFrame] = []
-    turn = 0
+    groups = max(1, -(-pieces.count() // group_pieces))
+    zero = {"turn": F.lit(0), "bins": F.lit(0).cast("long"), "handed": F.lit(False), "sums": F.lit(None).cast("array<long>")} | {c: F.lit(0).cast("long") for c in ("home", "bin", "offset")}
+    dealt = pieces.withColumn("dealt", F.pmod(F.xxhash64("seat"), F.lit(groups))).withColumns(zero)
+    settled, certificates, turn, gap = [], None, 0, 0
+    scales = F.array(*[F.lit(capacity if family == 0 else x * capacity).cast("long") for family, x in feasible_functions(capacity)])
     while True:
-        packed = materialize(dealt.groupBy("dealt").applyInArrow(_pack(capacity, turn), PACKED), "packed")
-        free = F.col("fill") < RELEASED * capacity
-        seen = packed.where(free).agg(F.count("*").alias("pieces"), F.count_distinct("dealt").alias("groups"), F.bool_or("gained").alias("gained")).first()
-        if seen["groups"] <= 1 or not seen["gained"]:
+        packed = materialize(dealt.select(*[f.split()[0] for f in PACKED.split(", ")]).groupBy("dealt").applyInArrow(_pack(capacity, turn, handed), PACKED), "packed")
+        told = packed.groupBy("dealt").agg(F.sum("bins").alias("bins"), F.first("sums", ignorenulls=True).alias("sums"))
+        if turn:
+            told = certificates.join(told.select("dealt", F.col("bins").alias("saved")), "dealt", "left").select("dealt", (F.col("bins") - F.coalesce("saved", F.lit(0))).alias("bins"), "sums")
+        # The next partitions: their parts' bins, and their bounds from the parts' sums.
+        joint = told.withColumn("dealt", F.floor(F.col("dealt") / fan)).select("dealt", "bins", F.posexplode("sums").alias("at", "sum")).groupBy("dealt", "at").agg(F.sum("bins").alias("bins"), F.sum("sum").alias("sum"))
+        joint = joint.groupBy("dealt").agg(F.first("bins").alias("bins"), F.transform(F.array_sort(F.collect_list(F.struct("at", "sum"))), lambda x: x["sum"]).alias("sums"))
+        certificates = materialize(joint, "certificates")
+        bounds = F.array_max(F.transform(F.arrays_zip(F.col("sums").alias("sum"), scales.alias("scale")), lambda x: F.ceil(x["sum"] / x["scale"]).cast("long")))
+        gaps = certificates.select("dealt", (F.col("bins") - bounds).alias("bins"))
+        if groups == 1:
+            last = gaps.first()
+            gap = last["bins"] if last else 0
             settled.append(packed)
             break
-        settled.append(packed.where(~free))
-        groups = -(-seen["pieces"] // (EXCHANGE * group_pieces))
-        turn += 1
-        dealt = packed.where(free).withColumn("dealt", F.pmod(F.xxhash64("turn", "home", "bin"), F.lit(groups)))
-    done = full.withColumns({"turn": F.lit(-1), "home": F.col("doc_id"), "bin": F.col("piece").cast("long"), "offset": F.lit(0).cast("long"), "gap": F.lit(0).cast("long")})
-    parts = [done, *settled]
-    named = [x.select("doc_id", "piece", "start", "length", "ids_crc32", F.xxhash64("turn", "home", "bin", *extra).alias("sequence_id"), "offset", "gap") for x, extra in zip(parts, [["ids_crc32", F.monotonically_increasing_id()]] + [[]] * len(settled))]
-    out = named[0]
-    for x in named[1:]:
-        out = out.unionByName(x)
-    return out
+        settled.append(packed.where("NOT handed"))
+        groups, turn = -(-groups // fan), turn + 1
+        dealt = packed.where("handed").withColumn("dealt", F.floor(F.col("dealt") / fan)).drop("bins").join(gaps, "dealt")
+    number = F.shiftleft(F.col("turn").cast("long"), HOME_BITS + BIN_BITS - 5) + F.shiftleft("home", BIN_BITS) + F.col("bin")
+    out = [x.select("doc_id", "piece", "start", "length", "ids_crc32", number.alias("sequence_id"), "offset", F.lit(gap).cast("long").alias("gap")) for x in settled]
+    return union_all(out)
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, end_id: int = 2, capacity: int = 1024) -> DataFrame:
@@ -249,7 +302,6 @@ def pack_documents(docs: DataFrame, path: str | None = None, end_id: int = 2, ca
         import public_tokenizers
 
         path = public_tokenizers.path("byte_bpe_50k.json")
-    small_batches(docs.sparkSession)
     return pack(materialize(tokenise(docs, path, end_id, capacity), "pieces"), capacity)
 
 

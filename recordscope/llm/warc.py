@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..operators.skew import hot_keys, salted_lookup
 from ..storage import materialize
-from .tables import read, small_batches
+from .tables import read, small
 
 #: Shorter payloads are never revisits.
 LEAST_SHARED = 100
@@ -199,7 +199,6 @@ def save(normalised: DataFrame, folder: str) -> None:
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     archives = materialize(write_archives(with_targets(read(spark, sf_dir, "pages"))), "archives")
     return read_records(materialize(normalise(archives), "normalised"))
 
