@@ -6,11 +6,16 @@ codec, duration and the byte ranges of the keyframes; ``payload_of`` follows
 the sample tables to the stored bytes. All three take any such file with one
 track; unknown boxes are skipped.
 
+Media files are a column of a table in the shared folder; the features are
+computed from what is read back from there.
+
 Defined results: a null text is an empty one; an empty payload is stored as
-64 zero bytes; equal texts give equal bytes; malformed containers raise
-ValueError with the box at fault, as a silent skip would hide lost data; an
-empty table gives no rows; columns other than the key and the text are not
-read.
+64 zero bytes; equal texts give equal bytes; null keys are kept, and rows with
+equal keys, repeated rows too, are rows of their own; texts of any length are
+stored whole (a container above 4 GB has wide boxes); malformed containers
+raise ValueError with the box at fault, as a silent skip would hide lost data;
+an empty table gives no rows; columns other than the key and the text are not
+read, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,6 +30,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..storage import materialize
 from .tables import read, small, texts_of
 
 #: Bytes of a sample, samples of a chunk, and samples from one keyframe to the next.
@@ -208,5 +214,6 @@ def probe_media(media: DataFrame) -> DataFrame:
 
 
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = probe_media(mux_texts(read(spark, sf_dir, "documents")))
+    stored = materialize(mux_texts(read(spark, sf_dir, "documents")), "media", compression="zstd")
+    found = probe_media(stored)
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")

@@ -11,9 +11,18 @@ Positions come without UDFs: ``regexp_extract_all`` gives a rule's matches,
 ``split`` by the same pattern what lies between them, and sums of both lengths
 the starts. Positions are code points, the end exclusive.
 
+Digests go first: texts of blobs that one path holds and that the ledger
+surely lacks are scanned where they are read; only texts of other blobs, known by a
+bitmap of bounded size, are shuffled, one per blob.
+
+The ledger may hold a pair more than once, from scans that ran at the same time or
+from a repeated append: equal findings count once.
+
 Defined results: a null text is an empty one and has no findings; equal texts
-have equal findings; rows with equal keys are rows of their own; a null key is
-kept; an empty table gives no rows; extra columns are ignored.
+have equal findings; rows with equal keys, repeated rows too, are rows of
+their own; a null key is kept; texts are scanned whole, however long; findings
+that start together are in the order of the rules; an empty table gives no
+rows; columns that are not asked for are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +33,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.skew import hot_keys, salted_lookup
+from ..operators.skew import hot_keys, maybe_member, salted_lookup
 from ..storage import materialize, new_folder
 from .tables import read
 
@@ -92,14 +101,23 @@ def spans(text: Column, rule: Rule) -> Column:
 
 def scan_unseen(docs: DataFrame, text: str, ledger: DataFrame | None, rules: Sequence[Rule]) -> DataFrame:
     """New ledger rows (blob, scanned, found): the pairs of blob and rule version that ledger does not hold."""
-    whole = F.coalesce(F.col(text), F.lit(""))
-    blobs = docs.select(F.sha2(whole, 256).alias("blob"), whole.alias("content")).groupBy("blob").agg(F.first("content").alias("content"))
+    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    named = docs.select(F.sha2(whole, 256).alias("blob"), whole.alias("content"))
     keys = F.array(*[F.lit(r.key) for r in rules])
+    none = F.array().cast("array<string>")
+    # Blobs that several paths hold, or that the ledger knows, and what is left to do for them.
+    apart = named.groupBy("blob").agg(F.count("*").alias("paths"))
     if ledger is None:
-        blobs = blobs.withColumn("todo", keys)
+        apart = apart.where("paths > 1").select("blob", keys.alias("todo"))
     else:
         seen = ledger.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_set("scanned"))).alias("seen"))
-        blobs = blobs.join(seen, "blob", "left").withColumn("todo", F.array_except(keys, F.coalesce("seen", F.array().cast("array<string>"))))
+        apart = apart.join(seen, "blob", "left").where("paths > 1 OR seen IS NOT NULL").select("blob", F.array_except(keys, F.coalesce("seen", none)).alias("todo"))
+    apart = materialize(apart, "blobs")
+    marked = maybe_member(named, "blob", apart, "apart")
+    alone = marked.where("NOT apart").select("blob", "content", keys.alias("todo"))
+    # The bitmap may hold a lone blob for one of apart, so the exact join keeps those.
+    rest = marked.where("apart").groupBy("blob").agg(F.first("content").alias("content")).join(apart, "blob", "left").select("blob", "content", F.coalesce("todo", keys).alias("todo"))
+    blobs = alone.unionByName(rest)
     found = F.concat(*[F.when(F.array_contains("todo", r.key), spans(F.col("content"), r)).otherwise(F.array().cast(FOUND)) for r in rules])
     return blobs.where(F.size("todo") > 0).select("blob", F.col("todo").alias("scanned"), found.alias("found"))
 
@@ -112,7 +130,7 @@ def ledger_findings(ledger: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     rows = ledger.where((F.size("found") > 0) & F.arrays_overlap("scanned", current))
     kinds = F.transform(F.array_intersect("scanned", current), lambda k: F.substring_index(k, "@", 1))
     rows = rows.withColumn("found", F.filter("found", lambda x: F.array_contains(kinds, x["rule"])))
-    merged = rows.groupBy("blob").agg(F.flatten(F.collect_list("found")).alias("found"))
+    merged = rows.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("found"))).alias("found"))
     ordered = F.array_sort(F.transform("found", lambda x: F.struct(x["start"].alias("start"), F.array_position(rank, x["rule"]).alias("rank"), x["end"].alias("end"), x["rule"].alias("rule"))))
     return merged.select("blob", ordered.alias("found"))
 
