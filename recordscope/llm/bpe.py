@@ -2,20 +2,29 @@
 
 BPE's result for a text is the one token sequence whose tokens are each whole
 under the merges and whose neighbours are each compatible: merging the two
-tokens' bytes gives the two tokens. So the last token for every prefix can be
-found from left to right: a state holds the vocabulary-trie nodes of all tokens
-under way, each with the token before it, and each move gives the last token
-of the prefix read. A token is settled, and emitted, once the paths to all
-tokens under way share it, so output waits for a bounded lookahead. States and
-moves are made when a text first needs them and are dropped together when
-there are too many.
-
-Decoding takes ids in any chunks; an incremental UTF-8 state machine holds
-back the bytes of a character that is not yet whole.
+tokens' bytes gives the two tokens. So a transducer that guesses where tokens
+end reads a text from left to right. Determinised, its state holds the
+vocabulary-trie node of every token under way, each with the tokens before it
+that are not emitted yet. A move by one byte emits what all of these have in
+common, so a token comes out as soon as no later byte can change it; what a
+state holds back is the lookahead. A token under way began at most the longest
+token's bytes ago, so guesses differ in where these last bytes are cut, and
+their paths meet before them but for a few tokens (``lookahead`` tells how many
+any state met so far holds). At the end, the guess that has no token under way
+gives the rest. States and moves are made when a text first needs them and are
+dropped together when there are too many.
+
+Decoding takes ids in any chunks. A UTF-8 state machine reads bytes one by one
+and holds the bytes of a character that is not yet whole; tokens that take it
+from start to start are looked up as texts.
 
 Defined results: a null text is an empty one; an empty text has no tokens, and
 its digests are those of the empty string; ids outside of the vocabulary raise
-KeyError; an empty table gives no rows.
+KeyError; bytes that are no UTF-8 decode to U+FFFD, one for each longest start
+of a character; null doc_ids are kept, rows with equal doc_ids or texts,
+repeated rows too, are rows of their own; texts of any length are read whole;
+an empty table gives no rows; only doc_id and text are read, whatever other
+columns there are.
 """
 
 from __future__ import annotations
@@ -23,8 +32,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from array import array
-from collections.abc import Iterable, Iterator
-from itertools import chain
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +44,10 @@ from .words import Memo
 
 #: States that are kept at once.
 MOST_STATES = 200_000
+#: A guess is dropped early if at most so many tokens can still come of it, and none may follow the one before.
+FEW = 2
 #: Matches of at most this many bytes are encoded side by side.
 SIDE_BY_SIDE = 64
-#: Bytes of one match after which settled tokens are looked for.
-WINDOW = 512
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -65,27 +73,45 @@ class Transducer:
                     self.token_at.append(-1)
                 node = following
             self.token_at[node] = rank
-        self.depth = [0] * len(self.trie)
-        for node, following in enumerate(self.trie):  # a node's number is above its parent's
-            for child in following.values():
-                self.depth[child] = self.depth[node] + 1
-        self.length = {v: len(k) for k, v in ranks.items()}
         self.pairs: dict[tuple[int, int], bool] = {}
+        self.below: dict[int, list[int]] = {}
         self.grown: dict[int, tuple[list[bytes], list[bytes]] | None] = {}
         self.kind = np.full(256, -1, np.intp)  # columns of the tables below, given to bytes as they are met
         self.kinds = 0
-        self.lengths = np.zeros(max(ranks.values()) + 1, np.int64)
-        for token, rank in ranks.items():
-            self.lengths[rank] = len(token)
         self.reset()
 
     def reset(self) -> None:
-        start = ((0, -1),)
-        self.ids = {start: 0}
-        self.states = [start]
-        self.moves: list[dict[int, tuple[int, int]]] = [{}]
+        #: The last token emitted, and (trie node, tokens not emitted yet) of each guess; the last guess is at a token's end.
+        self.ids: dict[tuple, int] = {}
+        self.states: list[tuple[int, tuple]] = []
+        self.moves: list[dict[int, tuple[int, tuple[int, ...]]]] = []
+        #: Emissions of moves and rests of states as numbers, for the tables; 0 emits nothing.
+        self.emitted: dict[tuple[int, ...], int] = {(): 0}
+        self.tokens, self.starts, self.counts = array("I"), array("q", [0]), array("q", [0])
+        self.rests = array("q")
+        self.lookahead = 0
+        self.intern((-1, ((0, ()),)))
         self.next = np.full((1024, max(32, self.kinds)), -1, np.int32)
-        self.last = self.next.copy()
+        self.out = np.zeros_like(self.next)
+
+    def intern(self, key: tuple[int, tuple]) -> int:
+        number = self.ids.get(key)
+        if number is None:
+            number = self.ids[key] = len(self.states)
+            self.states.append(key)
+            self.moves.append({})
+            self.rests.append(self.emission(key[1][-1][1]))
+            self.lookahead = max(self.lookahead, *(len(held) for _, held in key[1]))
+        return number
+
+    def emission(self, tokens: tuple[int, ...]) -> int:
+        number = self.emitted.get(tokens)
+        if number is None:
+            number = self.emitted[tokens] = len(self.starts)
+            self.starts.append(len(self.tokens))
+            self.counts.append(len(tokens))
+            self.tokens.extend(tokens)
+        return number
 
     def merged(self, raw: bytes, below: int = 1 << 60) -> list[bytes]:
         """The merges of a rank under below applied one by one: the definition, used once for each token."""
@@ -142,60 +168,71 @@ class Transducer:
             self.pairs[a, b] = known
         return known
 
-    def _move(self, state: int, byte: int) -> tuple[int, int]:
-        """The state after one more byte, and the last token of BPE's result for all bytes up to it."""
-        items, last = [], -1
-        for node, before in self.states[state]:
+    def alive(self, node: int, before: int) -> bool:
+        """Whether some token below a node may follow ``before``; not looked into where there are more than FEW."""
+        below = self.below.get(node)
+        if below is None:
+            below, todo = [], [*self.trie[node].values()]
+            while todo and len(below) <= FEW:
+                at = todo.pop()
+                if self.token_at[at] >= 0:
+                    below.append(self.token_at[at])
+                todo += self.trie[at].values()
+            self.below[node] = below
+        return len(below) > FEW or any(self.compatible(before, token) for token in below)
+
+    def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
+        """The state after one more byte, and the tokens that are settled by it."""
+        emitted, guesses = self.states[state]
+        after, ended = [], None
+        for node, held in guesses:
             following = self.trie[node].get(byte)
             if following is None:
                 continue
-            if self.trie[following]:
-                items.append((following, before))
+            before = held[-1] if held else emitted
+            if self.trie[following] and self.alive(following, before):
+                after.append((following, held))
             token = self.token_at[following]
-            if token >= 0 and last < 0 and self.compatible(before, token):
-                last = token
-        if last < 0:
+            if token >= 0 and ended is None and self.compatible(before, token):
+                ended = (*held, token)
+        if ended is None:
             raise ValueError(f"no token covers byte {byte}")
-        items.append((0, last))
-        key = tuple(items)
-        number = self.ids.get(key)
-        if number is None:
-            number = self.ids[key] = len(self.states)
-            self.states.append(key)
-            self.moves.append({})
-        move = self.moves[state][byte] = (number, last)
+        after.append((0, ended))
+        shared = 0
+        shortest = min(after, key=lambda x: len(x[1]))[1]
+        while shared < len(shortest) and all(held[shared] == shortest[shared] for _, held in after):
+            shared += 1
+        if shared:
+            emitted, after = ended[shared - 1], [(node, held[shared:]) for node, held in after]
+        # The last token emitted matters only to a guess that holds none.
+        key = (emitted if len(shortest) == shared else -1, tuple(after))
+        move = self.moves[state][byte] = (self.intern(key), ended[:shared])
         return move
 
-    def _path(self, lasts: list[int], end: int) -> list[int]:
-        """The tokens of the prefix that ends there, last one first."""
-        out, length = [], self.length
-        while end:
-            token = lasts[end - 1]
-            out.append(token)
-            end -= length[token]
-        return out
+    def stream(self, raw: Iterable[int]) -> Iterator[int]:
+        """Tokens as soon as no later byte can change them."""
+        state = 0
+        for byte in raw:
+            if len(self.states) > MOST_STATES:
+                key = self.states[state]
+                self.reset()
+                state = self.intern(key)
+            state, settled = self.moves[state].get(byte) or self._move(state, byte)
+            if settled:
+                yield from settled
+        yield from self.states[state][1][-1][1]
 
     def encode(self, raw: bytes) -> list[int]:
+        """A match's ids; one that is a token as a whole is that token."""
         whole = self.ranks.get(raw)
-        if whole is not None:
-            return [whole]
-        if len(raw) > WINDOW:
-            return list(self.stream(raw))
-        if len(self.states) > MOST_STATES:
-            self.reset()
-        state, lasts, moves = 0, [], self.moves
-        put = lasts.append
-        for byte in raw:
-            state, last = moves[state].get(byte) or self._move(state, byte)
-            put(last)
-        return self._path(lasts, len(raw))[::-1]
+        return [whole] if whole is not None else list(self.stream(raw))
 
     def _table(self) -> None:
         """Room for the moves of all states, as dense tables by state and kind of byte."""
         rows, columns = self.next.shape
         if len(self.states) > rows or self.kinds > columns:
             shape = (max(len(self.states), rows * 3 // 2) if len(self.states) > rows else rows, max(self.kinds, columns + 16) if self.kinds > columns else columns)
-            for name in ("next", "last"):
+            for name in ("next", "out"):
                 new = np.full(shape, -1, np.int32)
                 new[:rows, :columns] = getattr(self, name)
                 setattr(self, name, new)
@@ -224,7 +261,7 @@ class Transducer:
                 self.kinds += 1
         starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
         state = np.zeros(len(order), np.int32)
-        lasts = np.full((int(sizes[0]), len(order)), -1, np.int32)
+        emitted = np.zeros((len(order), int(sizes[0]) + 1), np.int32)
         for i in range(int(sizes[0])):
             n = int(np.searchsorted(-sizes, -i, "left"))  # the longest come first
             byte = flat[starts[:n] + i]
@@ -232,26 +269,21 @@ class Transducer:
             self._table()
             to = self.next[state[:n], kind]
             for code in np.unique(state[:n][to < 0].astype(np.int64) << 8 | byte[to < 0]).tolist():
-                number, last = self._move(code >> 8, code & 255)
+                number, settled = self._move(code >> 8, code & 255)
                 self._table()
-                self.next[code >> 8, self.kind[code & 255]], self.last[code >> 8, self.kind[code & 255]] = number, last
-            lasts[i, :n] = self.last[state[:n], kind]
+                self.next[code >> 8, self.kind[code & 255]], self.out[code >> 8, self.kind[code & 255]] = number, self.emission(settled)
+            emitted[:n, i] = self.out[state[:n], kind]
             state[:n] = self.next[state[:n], kind]
-        # back from the ends, token by token
-        end, back, columns = sizes.copy(), [], np.arange(len(order))
-        while True:
-            live = end > 0
-            if not live.any():
-                break
-            token = np.full(len(order), -1, np.int64)
-            token[live] = lasts[end[live] - 1, columns[live]]
-            end[live] -= self.lengths[token[live]]
-            back.append(token)
-        ids = np.stack(back[::-1], axis=1)
-        counts = (ids >= 0).sum(axis=1) * 4
-        packed = ids[ids >= 0].astype("<u4").tobytes()
+        emitted[:, -1] = np.array(self.rests)[state]
+        # What was emitted, match after match, as tokens.
+        row, _ = np.nonzero(emitted)
+        number = emitted[emitted > 0]
+        counts = np.array(self.counts)[number]
+        ends = np.cumsum(counts)
+        where = np.repeat(np.array(self.starts)[number] - (ends - counts), counts) + np.arange(int(ends[-1]) if len(ends) else 0)
+        packed = np.array(self.tokens, np.uint32)[where].astype("<u4").tobytes()
         stop = 0
-        for k, count in zip(order, counts.tolist()):
+        for k, count in zip(order, (np.bincount(row, counts, len(order)).astype(np.int64) * 4).tolist()):
             out[k] = packed[stop : stop + count]
             stop += count
         for k in order:  # a match that is a token as a whole is that token
@@ -259,49 +291,44 @@ class Transducer:
             if whole is not None and len(out[k]) != 4:
                 out[k] = array("I", [whole]).tobytes()
 
-    def stream(self, raw: Iterable[int]) -> Iterator[int]:
-        """Tokens as soon as no later byte can change them, with at most a window and a longest token held."""
-        if len(self.states) > MOST_STATES:
-            self.reset()
-        state, lasts, done = 0, [], 0
-        for byte in raw:
-            state, last = self.moves[state].get(byte) or self._move(state, byte)
-            lasts.append(last)
-            if len(lasts) >= WINDOW + done:
-                # every token under way began at one of these ends; what their paths share is settled
-                ends = [len(lasts) - self.depth[node] for node, _ in self.states[state]]
-                paths = [self._path(lasts, end)[::-1] for end in ends]
-                shared = 0
-                while all(len(p) > shared for p in paths) and len({p[shared] for p in paths}) == 1:
-                    shared += 1
-                yield from paths[0][:shared]
-                del lasts[: sum(self.length[t] for t in paths[0][:shared])]
-                done = len(lasts)
-        yield from self._path(lasts, len(lasts))[::-1]
+
+#: What may follow a lead byte: how many bytes, and the first one's range; the others are 0x80 to 0xBF.
+LEADS = {
+    **{b: (1, 0x80, 0xBF) for b in range(0xC2, 0xE0)}, 0xE0: (2, 0xA0, 0xBF), **{b: (2, 0x80, 0xBF) for b in range(0xE1, 0xF0)}, 0xED: (2, 0x80, 0x9F),
+    0xF0: (3, 0x90, 0xBF), **{b: (3, 0x80, 0xBF) for b in range(0xF1, 0xF4)}, 0xF4: (3, 0x80, 0x8F),
+}
 
 
 class Utf8Stream:
-    """Decodes bytes in any chunks; ``push`` gives the characters that are whole by now."""
+    """A state machine over bytes; ``push`` gives the characters that are whole by now."""
 
     def __init__(self) -> None:
-        self.held = b""
+        #: Bytes that the character under way still needs, the next one's range, and the character's bits so far.
+        self.need, self.low, self.high, self.bits = 0, 0, 0, 0
 
     def push(self, raw: bytes) -> str:
-        raw = self.held + raw
-        cut = len(raw)
-        for back in range(1, min(4, cut) + 1):
-            byte = raw[-back]
-            if byte >= 0xC0:  # a lead byte: how many bytes it asks for
-                if (2 if byte < 0xE0 else 3 if byte < 0xF0 else 4) > back:
-                    cut -= back
-                break
+        need, low, high, bits, out = self.need, self.low, self.high, self.bits, []
+        for byte in raw:
+            if need:
+                if low <= byte <= high:
+                    bits, need, low, high = bits << 6 | byte & 0x3F, need - 1, 0x80, 0xBF
+                    if not need:
+                        out.append(chr(bits))
+                    continue
+                out.append("\ufffd")
+                need = 0
             if byte < 0x80:
-                break
-        self.held = raw[cut:]
-        return raw[:cut].decode("utf-8", "replace")
+                out.append(chr(byte))
+            elif byte in LEADS:
+                need, low, high = LEADS[byte]
+                bits = byte & (0x3F >> need)
+            else:
+                out.append("\ufffd")
+        self.need, self.low, self.high, self.bits = need, low, high, bits
+        return "".join(out)
 
     def end(self) -> str:
-        rest, self.held = self.held.decode("utf-8", "replace"), b""
+        rest, self.need = "\ufffd" * bool(self.need), 0
         return rest
 
 
@@ -310,6 +337,12 @@ class ByteBpe:
         self.fst = Transducer(load_ranks(path))
         self.find = regex.compile(pattern).findall
         self.table = [self.fst.bytes_of.get(k) for k in range(max(self.fst.bytes_of) + 1)]
+        self.texts: list[str | None] = []
+        for raw in self.table:
+            try:
+                self.texts.append(raw.decode() if raw is not None else None)
+            except UnicodeDecodeError:  # the token does not take the machine from start to start
+                self.texts.append(None)
         self.decimal = [str(k) for k in range(len(self.table))]
         self.memo = Memo(self._pieces)
 
@@ -340,14 +373,19 @@ class ByteBpe:
 
     def decode_bytes(self, ids: Iterable[int]) -> bytes:
         try:
-            return b"".join(map(self.table.__getitem__, ids))
+            return b"".join([self.table[k if k >= 0 else len(self.table)] for k in ids])
         except (IndexError, TypeError) as e:
             raise KeyError("an id is not in the vocabulary") from e
 
-    def decode_stream(self, chunks: Iterable[list[int]]) -> Iterator[str]:
-        stream = Utf8Stream()
+    def decode_stream(self, chunks: Iterable[Sequence[int]]) -> Iterator[str]:
+        stream, texts, size = Utf8Stream(), self.texts, len(self.texts)
         for ids in chunks:
-            yield stream.push(self.decode_bytes(ids))
+            if len(ids) and not 0 <= min(ids) <= max(ids) < size:
+                raise KeyError("an id is not in the vocabulary")
+            found = list(map(texts.__getitem__, ids))
+            if None in found or stream.need:
+                found = [stream.push(self.decode_bytes((k,))) if text is None or stream.need else text for k, text in zip(ids, found)]
+            yield "".join(found)
         yield stream.end()
 
 
