@@ -17,10 +17,12 @@ that is read.
 Words are lower-cased runs between white space; a text of fewer than n words
 is one n-gram of all its words; one without words links to equal texts only.
 
-Defined results: a null text is an empty one; a null key is left out, as it
-can't be told apart from others; rows with equal keys are rows of their own,
-also if their texts differ, and a class with the key of another is a class of
-its own; an empty table gives no rows; extra columns are ignored.
+Defined results: a null text is an empty one; a class whose rows all have null
+keys has a null class_id, and comes after the others when a cluster is named;
+rows with equal keys are rows of their own, also if their texts differ, and a
+class with the key of another is a class of its own; texts are read whole,
+however long; a similarity of just the threshold links; an empty table gives
+no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -191,19 +193,24 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield result(tuple(current), rows)
 
 
-def row_links(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """What jaccard_links gives, with digest, the row's text as SHA-256, and leads: whether its class stands for its cluster."""
-    spark = docs.sparkSession
+def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, text, digest): digest is the text's SHA-256."""
     content = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), content.alias("text"), F.unhex(F.sha2(content, 256)).alias("digest"))
+    return docs.select(F.col(key).cast("long").alias("id"), content.alias("text"), F.unhex(F.sha2(content, 256)).alias("digest"))
+
+
+def linked_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(digest, class_id, cluster_id, copies, linked, leads) of each class: its rows, the rows of other classes that it links to, and whether it stands for its cluster."""
+    spark = docs.sparkSession
+    rows = _rows(docs, key, text)
     signed = rows.mapInArrow(_sign, "id long, digest binary, bands array<long>")
     classes = materialize(signed.groupBy("digest").agg(F.min("id").alias("class_id"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "classes")
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
-    # A class goes by its smallest id, or by its place in order if classes share one; the smallest of a cluster stands for it either way.
-    shared = not classes.groupBy("class_id").count().where("count > 1").isEmpty()
+    # A class goes by its smallest id, or by its place in order if classes share one or have none; the smallest of a cluster stands for it either way.
+    shared = not classes.groupBy("class_id").count().where("count > 1 OR class_id IS NULL").isEmpty()
     if shared:
-        classes = materialize(classes.orderBy("class_id", "digest").withColumn("own", F.monotonically_increasing_id()), "classes")
+        classes = materialize(classes.orderBy(F.asc_nulls_last("class_id"), "digest").withColumn("own", F.monotonically_increasing_id()), "classes")
     else:
         classes = classes.withColumn("own", F.col("class_id"))
 
@@ -237,10 +244,7 @@ def row_links(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
         known = salted_lookup(known, names, "label", hot_keys(sizes, "label", "count", classes.count()), mixed)
     else:
         known = known.withColumn("cluster_id", F.col("label"))
-    known = known.select("digest", "class_id", "cluster_id", "copies", "linked", (F.col("own") == F.col("label")).alias("leads"))
-    hot_classes = hot_keys(classes, "digest", "copies", classes.count())
-    out = salted_lookup(rows.select("id", "digest"), known, "digest", hot_classes, F.xxhash64("id"))
-    return out.select(F.col("id").alias(key), "class_id", "cluster_id", F.col("copies").alias("n_copies"), (F.col("linked") + F.col("copies") - 1).alias("n_links"), "digest", "leads")
+    return known.select("digest", "class_id", "cluster_id", "copies", "linked", (F.col("own") == F.col("label")).alias("leads"))
 
 
 def jaccard_links(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -250,7 +254,10 @@ def jaccard_links(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     that links lead to; n_copies: rows of the class; n_links: other rows with
     an equal text or a similarity at or above the threshold.
     """
-    return row_links(docs, key, text).drop("digest", "leads")
+    known = materialize(linked_classes(docs, key, text).drop("leads"), "linked")
+    total = known.agg(F.sum("copies")).first()[0] or 0
+    out = salted_lookup(_rows(docs, key, text).select("id", "digest"), known, "digest", hot_keys(known, "digest", "copies", total), F.xxhash64(F.monotonically_increasing_id()))
+    return out.select(F.col("id").alias(key), "class_id", "cluster_id", F.col("copies").alias("n_copies"), (F.col("linked") + F.col("copies") - 1).alias("n_links"))
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
