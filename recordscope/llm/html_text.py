@@ -144,7 +144,8 @@ class Page:
                 if not closed or tag in ("script", "style", "title", "textarea"):
                     end = _END[tag].search(html, at)
                     at = end.end() if end else size
-                text.append((-1, " ", False))
+                if opened["svg"] <= 0:
+                    text.append((-1, " ", False))
                 continue
             if tag in VOID:
                 if tag == "hr":
