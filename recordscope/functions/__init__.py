@@ -45,6 +45,25 @@ def size_name(size: Column, name: Column, undefined: Column) -> Column:
     return F.when(undefined, by_size).otherwise(name)
 
 
+def normal_type(size: Column, name: Column, undefined: Column, pointer: Column, pointer_size: int = 8) -> Column:
+    """size_name, but for a pointer to an undefined type: a pointer to the stand-in of a pointer's own length."""
+    return F.when(pointer & undefined, F.concat(size_name(F.lit(pointer_size), name, undefined), F.lit(" *"))).otherwise(size_name(size, name, undefined))
+
+
+def unique_names(stem: str, keys: Column) -> Column:
+    """stem and a short id of the member keys, so equal members share a name and no counter is kept."""
+    return F.concat(F.lit(stem + "_"), short_id(keys))
+
+
+def is_variable(kind: Column, nested_kind: Column) -> Column:
+    """A symbol, what is loaded through an address, or a symbol's reference."""
+    return kind.isin("sym", "deref") | ((kind == "ref") & (nested_kind == "sym"))
+
+
+def nonzero_constant(kind: Column, value: Column) -> Column:
+    return (kind == "const") & (value != 0)
+
+
 def hash31(values: Column, seed: int = 1) -> Column:
     """The 31-polynomial over an array of whole numbers, as an unsigned 32-bit number."""
     return F.aggregate(values, F.lit(seed).cast("long"), lambda h, x: (h * 31 + x.cast("long")).bitwiseAND(F.lit(0xFFFFFFFF)))

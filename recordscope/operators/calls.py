@@ -71,12 +71,16 @@ def merged_variables(varnodes: DataFrame) -> DataFrame:
     return varnodes.where("sym IS NOT NULL").groupBy("func", "sym").agg(F.count_distinct("merge_group").alias("groups")).where("groups > 1").select("func", "sym")
 
 
-def stitch_arguments(call_sites: DataFrame, functions: DataFrame, params: DataFrame, facts: DataFrame) -> DataFrame:
+def stitch_arguments(call_sites: DataFrame, functions: DataFrame, params: DataFrame, facts: DataFrame, fixed: DataFrame | None = None) -> DataFrame:
     """CALL edges (src, dst): each fact of an argument to the parameter in its place.
 
     call_sites: (cs, caller, callee_entry, args); params: (func, idx, expr);
-    facts: (func, vn, expr). Calls of a function by itself are left out.
+    facts: (func, vn, expr). Calls of a function by itself are left out, and
+    arguments beyond the fixed number of a callee in fixed (callee, fixed), as vararg_functions gives it.
     """
+    if fixed is not None:
+        limits = fixed.select(F.col("callee").alias("func"), "fixed")
+        params = params.join(limits, "func", "left").where("fixed IS NULL OR idx < fixed").drop("fixed")
     sites = call_sites.join(functions.select(F.col("func").alias("callee"), F.col("entry").alias("callee_entry")), "callee_entry").where("caller <> callee")
     args = sites.select("cs", "caller", "callee", F.posexplode("args").alias("idx", "vn"))
     held = args.join(facts.select(F.col("func").alias("caller"), "vn", F.col("expr").alias("src")), ["caller", "vn"])

@@ -107,19 +107,62 @@ def nesting(candidates: DataFrame, fields: DataFrame, marks: DataFrame, pointer_
     return good.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").drop("_rn")
 
 
-def populate(fields: DataFrame, nests: DataFrame, max_depth: int = 8) -> DataFrame:
-    """Fields with those of nested constraints copied to their places, innermost first."""
+def populate(fields: DataFrame, nests: DataFrame) -> DataFrame:
+    """Fields with those of nested constraints copied to their places, innermost first, to any depth; a cycle of nests raises an error."""
     own = fields.select("c", "offset", "size", "dt")
-    out, layer = own, own
-    for _ in range(max_depth):
+    out, layer, most, depth = own, own, nests.select("outer").distinct().count(), 0
+    while True:
         moved = nests.select("outer", F.col("inner").alias("c"), "delta").join(layer, "c").select(F.col("outer").alias("c"), (F.col("offset") + F.col("delta")).alias("offset"), "size", "dt")
         layer = materialize(moved.join(out, ["c", "offset"], "left_anti").distinct(), "nested")
         if layer.isEmpty():
             break
+        depth += 1
+        if depth > most:
+            raise ValueError("constraints are nested in a cycle")
         out = out.unionByName(layer)
     return out.groupBy("c", "offset").agg(F.max_by(F.struct("size", "dt"), F.struct("size", "dt")).alias("_")).select("c", "offset", "_.size", "_.dt")
 
 
+def nesting_candidates(arguments: DataFrame, exprs: DataFrame, constraint_of: DataFrame) -> DataFrame:
+    """(outer, inner, delta, variables): arguments ``base + delta`` whose base and whose own expression both have a constraint.
+
+    arguments: (expr); exprs: (expr, base, off, idx); constraint_of: (expr, c).
+    """
+    moved = arguments.select("expr").distinct().join(exprs.where("kind = 'sum' AND base IS NOT NULL AND idx IS NULL AND off <> 0").select("expr", "base", F.col("off").alias("delta")).distinct(), "expr")
+    outer = moved.join(constraint_of.select(F.col("expr").alias("base"), F.col("c").alias("outer")), "base")
+    both = outer.join(constraint_of.select("expr", F.col("c").alias("inner")), "expr")
+    return both.groupBy("outer", "inner", "delta").agg(F.count_distinct("expr").alias("variables"))
+
+
+def field_expressions(fields: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(base, offset, field_expr): the expressions of the fields that wanted (base, offset) asks for."""
+    return wanted.select("base", "offset").distinct().join(fields.select("base", "offset", "field_expr").distinct(), ["base", "offset"])
+
+
+def merge_constraints(pairs: DataFrame, accesses: DataFrame, refs: DataFrame, nests: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(accesses, refs, nests) of the merged constraints, named by the pair's first; pairs with a conflict are left out.
+
+    pairs: (first, second). accesses: (c, offset, size, dt, op); of refs (c, offset,
+    target, ptr_level) and nests (outer, inner, delta), the second's count where both have one at a place.
+    """
+    sides = pairs.select(F.concat_ws("|", "first", "second").alias("pair"), "first", F.explode(F.array(F.struct(F.col("first").alias("c"), F.lit(0).alias("rank")), F.struct(F.col("second").alias("c"), F.lit(1).alias("rank")))).alias("x")).select("pair", "first", "x.c", "x.rank")
+    held = sides.join(accesses, "c")
+    good = materialize(sides.join(cross_conflicted(held, "pair", "c"), "pair", "left_anti"), "pairs")
+    last = lambda rows, keys, values: rows.groupBy("first", *keys).agg(F.max_by(F.struct(*values), "rank").alias("_"))
+    merged = good.join(accesses, "c").select(F.col("first").alias("c"), "offset", "size", "dt", "op").distinct()
+    ref = last(good.join(refs, "c"), ["offset"], ["target", "ptr_level"]).select(F.col("first").alias("c"), "offset", "_.target", "_.ptr_level")
+    nest = last(good.join(nests.withColumnRenamed("outer", "c"), "c"), ["delta"], ["inner"]).select(F.col("first").alias("outer"), "_.inner", "delta")
+    return merged, ref, nest
+
+
+def empty_constraints(constraints: DataFrame, fields: DataFrame, inferred: DataFrame, attributes: DataFrame) -> DataFrame:
+    """(c) without fields, inferred types and attributes; sizes don't count."""
+    kept = constraints.select("c").distinct()
+    for rows in (fields, inferred, attributes):
+        kept = kept.join(rows.select("c").distinct(), "c", "left_anti")
+    return kept
+
+
 def drop_redundant(constraints: DataFrame, fields: DataFrame, marks: DataFrame, mids: DataFrame) -> DataFrame:
     """Constraints with fields that are neither primitives nor pointers in the middle of a chain."""
     return constraints.join(fields.select("c").distinct(), "c", "left_semi").join(marks.select("c"), "c", "left_anti").join(mids.select("c").distinct(), "c", "left_anti")

@@ -57,6 +57,21 @@ def merge_layouts(accesses: DataFrame, members: DataFrame, node: str = "base", c
     return joined.groupBy(component, "offset").agg(F.count_distinct(F.struct(node, "op")).alias("accesses"), F.array_sort(F.collect_set("size")).alias("sizes"), F.array_sort(F.collect_set("dt")).alias("types"))
 
 
+def merge_skeletons(members: DataFrame, attributes: DataFrame, sizes: DataFrame, elements: DataFrame, inferred: DataFrame, node: str = "base", component: str = "component") -> DataFrame:
+    """(component, attributes, sizes, element_sizes, inferred, is_composite): what its nodes' skeletons hold apart from fields, as sorted sets (commutative, associative, idempotent).
+
+    members: (node, component, is_composite); attributes: (node, attr); sizes,
+    elements: (node, size); inferred: (node, dt).
+    """
+    nodes = members.select(node, component, "is_composite")
+    out = nodes.groupBy(component).agg(F.bool_or("is_composite").alias("is_composite"))
+    for rows, column, name in ((attributes, "attr", "attributes"), (sizes, "size", "sizes"), (elements, "size", "element_sizes"), (inferred, "dt", "inferred")):
+        held = nodes.join(rows.select(node, F.col(column).alias("_v")), node).groupBy(component).agg(F.array_sort(F.collect_set("_v")).alias(name))
+        kind = dict(rows.dtypes)[column]
+        out = out.join(held, component, "left").withColumn(name, F.coalesce(name, F.array().cast(f"array<{kind}>")))
+    return out
+
+
 def layouts(fields: DataFrame, base: str = "base", extra: Column | None = None) -> DataFrame:
     """Each base's fields as one array by offset; a base has few fields, as offsets are bounded."""
     entry = F.struct("offset", "size", "dt") if extra is None else F.struct("offset", "size", "dt", extra)

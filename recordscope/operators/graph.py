@@ -137,20 +137,7 @@ def backtrack(tree: DataFrame, ends: DataFrame) -> DataFrame:
 def simple_paths(edges: DataFrame, max_length: int = 16) -> DataFrame:
     """(path): simple paths from sources to sinks of at most max_length nodes; longer ones raise an error rather than being dropped."""
     ends = materialize(sources_and_sinks(edges), "ends")
-    step = edges.select(F.col("src").alias("at"), F.col("dst").alias("to")).distinct()
-    sinks = ends.where("role = 'sink'").select(F.col("node").alias("at"))
-    front = ends.where("role = 'source'").select(F.col("node").alias("at"), F.array("node").alias("path"))
-    done = [front.select("path").where("false")]
-    for _ in range(max_length):
-        front = materialize(front, "paths")
-        if front.isEmpty():
-            break
-        done.append(front.join(sinks, "at", "left_semi").select("path"))
-        front = front.join(step, "at").where(~F.array_contains("path", F.col("to"))).select(F.col("to").alias("at"), F.concat("path", F.array("to")).alias("path"))
-    else:
-        if not front.isEmpty():
-            raise ValueError(f"paths of more than {max_length} nodes; raise max_length or split the component")
-    return union_all(done)
+    return paths_between(edges, ends.where("role = 'source'").select("node"), ends.where("role = 'sink'").select("node"), max_length)
 
 
 def path_edges(paths: DataFrame) -> DataFrame:
@@ -194,10 +181,123 @@ def exclusive_reach(reached: DataFrame) -> DataFrame:
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
-    """(node, label): the smallest node that reaches and is reached; by full reachability, so for small components."""
-    pairs = reach(edges, degrees(edges).select("node"))
-    back = pairs.select(F.col("node").alias("seed"), F.col("seed").alias("node"))
-    return pairs.select("seed", "node").join(back, ["seed", "node"]).groupBy(F.col("seed").alias("node")).agg(F.min("node").alias("label"))
+    """(node, label): the smallest node that reaches and is reached.
+
+    Each round, every node left takes the smallest node that reaches it; those
+    that also reach that one, within the nodes of equal colour, are its
+    component and leave. No set of reached nodes is kept per node.
+    """
+    left = materialize(edges.select("src", "dst").distinct(), "left")
+    done, rest = [], materialize(degrees(left).select("node"), "rest")
+    while not rest.isEmpty():
+        colour = materialize(spread_least(left, rest.select("node", F.col("node").alias("value")), "src", "dst"), "colours")
+        a = colour.select(F.col("node").alias("src"), F.col("value").alias("c1"))
+        b = colour.select(F.col("node").alias("dst"), F.col("value").alias("c2"))
+        inside = left.join(a, "src").join(b, "dst").where("c1 = c2").select("src", "dst")
+        roots = colour.select(F.col("node"), F.when(F.col("node") == F.col("value"), F.col("node")).alias("value"))
+        back = spread_least(inside, roots.where("value IS NOT NULL"), "dst", "src")
+        found = materialize(back.select("node", F.col("value").alias("label")), "strong")
+        done.append(found)
+        out = found.select("node")
+        rest = replace(rest, rest.join(out, "node", "left_anti"), "rest")
+        left = replace(left, without_nodes(left, out), "left")
+        release(colour)
+    release(left)
+    return union_all(done) if done else edges.select(F.col("src").alias("node"), F.col("src").alias("label")).where("false")
+
+
+def spread_least(edges: DataFrame, values: DataFrame, a: str, b: str) -> DataFrame:
+    """(node, value): the smallest value (node, value) of any node from which edges lead there, itself too."""
+    known = materialize(values.select("node", "value", F.lit(True).alias("new")), "spread")
+    while True:
+        offers = known.where("new").join(edges.select(F.col(a).alias("node"), F.col(b).alias("to")), "node").groupBy(F.col("to").alias("node")).agg(F.min("value").alias("offer"))
+        lower = known.join(offers, "node", "full").select("node", F.least("value", "offer").alias("value"), (F.coalesce(F.col("offer") < F.col("value"), F.col("value").isNull())).alias("new"))
+        known = replace(known, lower.withColumn("new", F.coalesce("new", F.lit(False))), "spread")
+        if known.where("new").isEmpty():
+            return known.select("node", "value")
+
+
+def processable(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(label, nodes) of the components that can be worked on: more than one node, and none of them without an edge. nodes: (node, label)."""
+    joined = nodes.join(degrees(edges), "node", "left")
+    return joined.groupBy("label").agg(F.count("*").alias("nodes"), F.count("n_in").alias("linked")).where("nodes > 1 AND nodes = linked").select("label", "nodes")
+
+
+def cover(edges: DataFrame, paths: DataFrame, max_length: int = 16) -> DataFrame:
+    """(path): paths, and such through the nodes that none of them has.
+
+    Each round, uncovered nodes without an uncovered one before them start,
+    those without one behind them end; if there are none, the one with the
+    smallest in- or out-degree of the smallest key does, per component. When a
+    round covers nothing, each node that is left is a path by itself.
+    """
+    step = materialize(edges.select("src", "dst").distinct(), "steps")
+    label = materialize(min_labels(step), "labels")
+    found, left = [paths.select("path")], uncovered_nodes(step, paths)
+    left = materialize(left, "uncovered")
+    while not left.isEmpty():
+        inner = step.join(left.withColumnRenamed("node", "src"), "src", "left_semi").join(left.withColumnRenamed("node", "dst"), "dst", "left_semi")
+        ranked = left.join(label, "node").join(degrees(step), "node")
+        ends = {}
+        for side, column in (("dst", "n_in"), ("src", "n_out")):
+            free = ranked.join(inner.where("src <> dst").select(F.col(side).alias("node")).distinct(), "node", "left_anti").select("node", "label")
+            none = ranked.join(free.select("label").distinct(), "label", "left_anti").groupBy("label").agg(F.min(F.struct(column, "node")).alias("x")).select(F.col("x.node").alias("node"), "label")
+            ends[side] = materialize(free.unionByName(none), "ends")
+        new = materialize(paths_between(step, ends["dst"].select("node"), ends["src"].select("node"), max_length), "paths")
+        found.append(new)
+        after = left.join(new.select(F.explode("path").alias("node")).distinct(), "node", "left_anti")
+        if new.isEmpty():
+            found.append(left.select(F.array("node").alias("path")))
+            break
+        left = replace(left, after, "uncovered")
+    return union_all(found).distinct()
+
+
+def paths_between(edges: DataFrame, starts: DataFrame, ends: DataFrame, max_length: int = 16) -> DataFrame:
+    """(path): simple paths from any node of starts to any of ends (node) of at most max_length nodes; longer ones raise an error."""
+    step = edges.select(F.col("src").alias("at"), F.col("dst").alias("to")).distinct()
+    sinks = ends.select(F.col("node").alias("at"))
+    front = starts.select(F.col("node").alias("at"), F.array("node").alias("path"))
+    done = [front.select("path").where("false")]
+    for _ in range(max_length):
+        front = materialize(front, "paths")
+        if front.isEmpty():
+            break
+        done.append(front.join(sinks, "at", "left_semi").select("path"))
+        front = front.join(step, "at").where(~F.array_contains("path", F.col("to"))).select(F.col("to").alias("at"), F.concat("path", F.array("to")).alias("path"))
+    else:
+        if not front.isEmpty():
+            raise ValueError(f"paths of more than {max_length} nodes; raise max_length or split the component")
+    return union_all(done)
+
+
+def assert_covered(edges: DataFrame, paths: DataFrame) -> None:
+    """Raises if some node is on no path."""
+    if not uncovered_nodes(edges, paths).isEmpty():
+        raise ValueError("some nodes are on no path")
+
+
+def heights(edges: DataFrame) -> DataFrame:
+    """(node, height): callees before callers. A node's height is above those of all that it leads to, but for nodes of its own cycle, which share one."""
+    label = materialize(strong_components(edges), "strong")
+    a, b = (label.select(F.col("node").alias(x), F.col("label").alias(y)) for x, y in (("src", "a"), ("dst", "b")))
+    between = materialize(edges.select("src", "dst").join(a, "src").join(b, "dst").where("a <> b").select("a", "b").distinct(), "between")
+    height = materialize(label.select(F.col("label").alias("a"), F.lit(0).alias("height")).distinct(), "heights")
+    while True:
+        above = between.join(height.withColumnRenamed("a", "b"), "b").groupBy("a").agg((F.max("height") + 1).alias("least"))
+        new = height.join(above, "a", "left").select("a", F.greatest("height", F.coalesce("least", F.lit(0))).alias("height"), (F.coalesce("least", F.lit(0)) > F.col("height")).alias("up"))
+        new = replace(height, new, "heights")
+        height = new
+        if new.where("up").isEmpty():
+            break
+    return label.join(height.select(F.col("a").alias("label"), "height"), "label").select("node", "height")
+
+
+def post_order(edges: DataFrame) -> DataFrame:
+    """(node, ord): an order in which what a node leads to comes before it, ties by key; total within a height."""
+    order = Window.partitionBy("height").orderBy("node")
+    ranked = heights(edges).withColumn("at", F.row_number().over(order))
+    return ranked.select("node", "height", F.col("at").alias("ord"))
 
 
 def least_degree(edges: DataFrame, nodes: DataFrame, column: str = "n_in") -> DataFrame:

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .skew import unused
+
 
 def overlaps(start: Column, end: Column, other_start: Column, other_end: Column) -> Column:
     return ((start < other_start) & (other_start < end)) | ((other_start < start) & (start < other_end))
@@ -33,21 +35,22 @@ def cross_conflicted(intervals: DataFrame, group: str, node: str, start: str = "
     """Groups with a conflict between intervals of two different nodes.
 
     For each start, the two furthest ends of different nodes among smaller
-    starts suffice, so a window with two running maxima replaces pairs.
+    starts suffice. A first window keeps the furthest end and its node. What a row
+    leaves behind for the second place is its own end, or, where it takes the
+    first place from another node, that node's end; a second window keeps the
+    largest of these. No rows are paired.
     """
-    rows = intervals.where(F.col(size) > 0).groupBy(group, node, start).agg(F.max(F.col(start) + F.col(size)).alias("_end"))
-    before = Window.partitionBy(group).orderBy(start).rangeBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_top", F.max(F.struct("_end", F.col(node).alias("n"))).over(before))
-    same = Window.partitionBy(group, node).orderBy(start).rangeBetween(Window.unboundedPreceding, -1)
-    # The furthest end of any node; when it is the row's own, the furthest of the others decides.
-    others = rows.withColumn("_own", F.max("_end").over(same))
-    direct = (F.col("_top.n") != F.col(node)) & (F.col("_top._end") > F.col(start))
-    sure = others.where(direct).select(group)
-    doubtful = others.where((F.col("_top.n") == F.col(node)) & (F.col("_top._end") > F.col(start))).select(group, node, F.col(start).alias("_s"))
-    left = doubtful.join(sure.distinct(), group, "left_anti").alias("d")
-    right = rows.select(F.col(group).alias("_g"), F.col(node).alias("_n"), F.col(start).alias("_o"), "_end").alias("r")
-    rest = left.join(right, (F.col(f"d.{group}") == F.col("r._g")) & (F.col(f"d.{node}") != F.col("r._n")) & (F.col("r._o") < F.col("d._s")) & (F.col("r._end") > F.col("d._s"))).select(F.col(f"d.{group}").alias(group))
-    return sure.unionByName(rest).distinct()
+    top, behind, end = unused(intervals.columns, "_top", "_behind", "_end")
+    own = F.struct(F.col(end).alias("e"), F.col(node).alias("n"))
+    rows = intervals.where(F.col(size) > 0).groupBy(group, node, start).agg(F.max(F.col(start) + F.col(size)).alias(end))
+    earlier = Window.partitionBy(group).orderBy(start, end, node).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn(top, F.max(own).over(earlier))
+    leads = F.col(top).isNull() | (own > F.col(top))
+    rows = rows.withColumn(behind, F.when(~leads, F.when(F.col(f"{top}.n") != F.col(node), F.col(end))).when(F.col(f"{top}.n") != F.col(node), F.col(f"{top}.e")))
+    smaller = Window.partitionBy(group).orderBy(start).rangeBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn(top, F.max(own).over(smaller)).withColumn(behind, F.max(behind).over(smaller))
+    other = F.when(F.col(f"{top}.n") != F.col(node), F.col(f"{top}.e")).otherwise(F.col(behind))
+    return rows.where(other > F.col(start)).select(group).distinct()
 
 
 def nest_conflicts(nester: DataFrame, nestee: DataFrame, links: DataFrame) -> DataFrame:

@@ -118,9 +118,9 @@ def evil_edges(edges: dict, fields: dict) -> set[tuple]:
                     following.append(b)
             front = following
         holds[source] = (seen, held)
-    # Sources that conflict with each other: those with most conflicts are cut from what they alone don't reach.
+    # Sources that conflict with each other: those with most conflicts are cut from what they alone don't reach. Sources that share what they reach are left to the edges that were cut on the way.
     names = sorted(holds)
-    clashes = {s: {t for t in names if t != s and clash(holds[s][1], holds[t][1])} for s in names}
+    clashes = {s: {t for t in names if t != s and not holds[s][0] & holds[t][0] and clash(holds[s][1], holds[t][1])} for s in names}
     while any(clashes.values()):
         worst = min(names, key=lambda s: (-len(clashes[s]), s))
         others = set().union(*(holds[t][0] for t in names if t != worst))

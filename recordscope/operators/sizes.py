@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import materialize
+from ..storage import materialize, release, replace
 from .graph import flow_edges, path_exists, reach, without_edges
 
 
@@ -34,6 +34,7 @@ def propagate_sizes(edges: DataFrame, sources: DataFrame, passes: tuple[bool, ..
     smallest and offers nothing. sources: (node, size).
     """
     known = materialize(sources.groupBy("node").agg(F.min("size").alias("size"), (F.count_distinct("size") > 1).alias("conflict")), "sizes")
+    table = known
     flow = flow_edges(edges) if "edge_type" in edges.columns else edges
     for forward in passes:
         a, b = ("src", "dst") if forward else ("dst", "src")
@@ -45,11 +46,12 @@ def propagate_sizes(edges: DataFrame, sources: DataFrame, passes: tuple[bool, ..
                 "node", F.coalesce("size", "lo").alias("size"), F.coalesce("conflict", F.lit(False)).alias("was"), F.col("size").isNull().alias("new"),
                 (F.coalesce("conflict", F.lit(False)) | F.coalesce((F.col("lo") != F.col("hi")) | (F.coalesce("size", "lo") != F.col("lo")), F.lit(False))).alias("conflict"),
             )
-            after = materialize(after, "sizes")
-            known = after.select("node", "size", "conflict")
+            after = replace(table, after, "sizes")
+            table, known = after, after.select("node", "size", "conflict")
             front = after.where("new AND NOT conflict").select("node", "size")
             if front.isEmpty():
                 break
+        release(step)
     return known
 
 

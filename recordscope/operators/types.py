@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import materialize
+from ..storage import materialize, release, union_all
 
 COMPOSITE = ("struct", "union")
 
@@ -16,43 +16,46 @@ def load_catalogue(types: DataFrame) -> DataFrame:
     return types.groupBy("dt").agg(F.max_by(F.struct(*rest), F.struct(F.coalesce("length", F.lit(-1)), F.coalesce("category", F.lit("")))).alias("_")).select("dt", "_.*")
 
 
-def resolve(types: DataFrame, through: tuple[str, ...]) -> DataFrame:
-    """(dt, root, steps): follows the columns in ``through`` (such as typedef_of, pointee) to the end; a cycle ends where it closes."""
-    following = F.coalesce(*[F.col(c) for c in through])
-    link = materialize(types.select(F.col("dt").alias("root"), following.alias("to")).where("to IS NOT NULL"), "links")
-    at = materialize(types.select("dt", F.col("dt").alias("root"), F.lit(0).alias("steps"), F.array("dt").alias("seen")), "resolved")
-    while True:
-        moved = at.join(link, "root", "left").withColumn("_go", F.col("to").isNotNull() & ~F.array_contains("seen", F.coalesce("to", F.lit(""))))
-        new = moved.select("dt", F.when(F.col("_go"), F.col("to")).otherwise(F.col("root")).alias("root"), (F.col("steps") + F.col("_go").cast("int")).alias("steps"), F.when(F.col("_go"), F.concat("seen", F.array("to"))).otherwise(F.col("seen")).alias("seen"), F.col("_go").alias("go"))
-        at = materialize(new, "resolved")
-        if at.where("go").isEmpty():
-            return at.select("dt", "root", "steps")
-        at = at.drop("go")
+def walk(types: DataFrame) -> DataFrame:
+    """(dt, bare, root, ptr_level) of each type: itself without typedefs, the innermost type through typedefs and pointers, and the pointers on the way.
+
+    One walk gives all three. A cycle ends where it closes.
+    """
+    links = types.select(F.col("dt").alias("root"), F.coalesce("typedef_of", "pointee").alias("to"), F.col("typedef_of").isNull().alias("down")).where("to IS NOT NULL")
+    at = types.select("dt", F.lit(None).cast("string").alias("bare"), F.col("dt").alias("root"), F.lit(0).alias("ptr_level"), F.array("dt").alias("seen"), F.lit(True).alias("go"))
+    links, at = materialize(links, "links"), materialize(at, "walked")
+    done = []
+    while not at.isEmpty():
+        moved = at.join(links, "root", "left")
+        go = F.col("to").isNotNull() & ~F.array_contains("seen", F.coalesce("to", F.lit("")))
+        bare = F.coalesce("bare", F.when(F.coalesce("down", F.lit(True)), F.col("root")))
+        step = materialize(moved.select(
+            "dt", F.when(go, bare).otherwise(F.coalesce(bare, "root")).alias("bare"), F.when(go, F.col("to")).otherwise(F.col("root")).alias("root"),
+            (F.col("ptr_level") + (go & F.col("down")).cast("int")).alias("ptr_level"), F.when(go, F.concat("seen", F.array("to"))).otherwise(F.col("seen")).alias("seen"), go.alias("go"),
+        ), "walked")
+        done.append(step.where("NOT go").select("dt", "bare", "root", "ptr_level"))
+        at = step.where("go")
+    release(links)
+    return union_all(done) if done else at.select("dt", "bare", "root", "ptr_level")
 
 
 def describe_variable(types: DataFrame) -> DataFrame:
     """(dt, desc, ptr_level): PointerToStruct / Union / Primitive through all pointers, StackStruct / Union, or Primitive."""
-    bare = resolve(types, ("typedef_of",)).select("dt", F.col("root").alias("bare"))
-    innermost = resolve(types, ("typedef_of", "pointee")).select("dt", "root")
     kind = types.select(F.col("dt").alias("k"), "kind")
-    level = pointer_levels(types)
-    out = bare.join(innermost, "dt").join(kind.select(F.col("k").alias("bare"), F.col("kind").alias("own")), "bare", "left").join(kind.select(F.col("k").alias("root"), F.col("kind").alias("inner")), "root", "left").join(level, "dt", "left")
+    out = walk(types).join(kind.select(F.col("k").alias("bare"), F.col("kind").alias("own")), "bare", "left").join(kind.select(F.col("k").alias("root"), F.col("kind").alias("inner")), "root", "left")
     word = lambda c: F.when(c == "struct", "Struct").when(c == "union", "Union").otherwise("Primitive")
     desc = F.when(F.col("own") == "pointer", F.concat(F.lit("PointerTo"), word(F.col("inner")))).when(F.col("own").isin(*COMPOSITE), F.concat(F.lit("Stack"), word(F.col("own")))).otherwise("Primitive")
     return out.select("dt", desc.alias("desc"), F.coalesce("ptr_level", F.lit(0)).alias("ptr_level"))
 
 
-def pointer_levels(types: DataFrame) -> DataFrame:
-    """(dt, ptr_level): pointers on the way to the innermost type, typedefs not counted."""
-    link = materialize(types.select(F.col("dt").alias("root"), F.coalesce("typedef_of", "pointee").alias("to"), F.col("typedef_of").isNull().cast("int").alias("one")).where("to IS NOT NULL"), "links")
-    at = materialize(types.select("dt", F.col("dt").alias("root"), F.lit(0).alias("ptr_level"), F.lit(0).alias("n")), "levels")
-    total = link.count()
-    while True:
-        new = at.join(link, "root", "left").select("dt", F.coalesce("to", "root").alias("root"), (F.col("ptr_level") + F.coalesce("one", F.lit(0))).alias("ptr_level"), (F.col("n") + F.col("to").isNotNull().cast("int")).alias("n"), F.col("to").isNotNull().alias("go"))
-        at = materialize(new, "levels")
-        if at.where(f"go AND n <= {total}").isEmpty():
-            return at.where(f"n <= {total}").select("dt", "ptr_level")
-        at = at.drop("go")
+def pointer_to(name: Column, level: Column) -> Column:
+    """The name of a pointer of this level to a type."""
+    return F.concat(name, F.when(level > 0, F.concat(F.lit(" "), F.repeat(F.lit("*"), level))).otherwise(F.lit("")))
+
+
+def array_of(name: Column, length: Column) -> Column:
+    """The name of an array of a type."""
+    return F.concat(name, F.lit("["), length.cast("string"), F.lit("]"))
 
 
 def describe_member(kind: Column, element_kind: Column, pointee_kind: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import sources
-from ..operators import candidates, constraints, fields, layout, tournament
+from ..operators import candidates, constraints, fields, intervals, layout, tournament
 from . import interpreter
 from .views import MODE_SQL, accesses, accesses_sql, table
 
@@ -96,20 +96,54 @@ def generated_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidates.generate(modes.select("c").distinct(), kinds, profile, rows.select("c", "offset", "size").distinct(), none, marks)
 
 
-@query(None)
-def conflict_free_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders linked along each customer's history; conflicting layouts are cut apart."""
+CLEAN_SQL = f"""{FA}, h AS (SELECT o_custkey AS k, base, "offset", size FROM fa JOIN orders ON o_orderkey = base),
+bad AS (SELECT DISTINCT a.k FROM h a JOIN h b ON a.k = b.k AND a."offset" < b."offset" AND b."offset" < a."offset" + a.size), node AS (SELECT DISTINCT o_custkey AS k, o_orderkey::VARCHAR AS node FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) > 1) OR o_orderkey IN (SELECT base FROM fa))"""
+
+
+@query(f"""{CLEAN_SQL}, l AS (SELECT k, min(node) AS label FROM node GROUP BY k) SELECT node, label FROM node JOIN l USING (k) WHERE k NOT IN (SELECT k FROM bad)""")
+def clean_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers without any conflict keep all their orders together."""
+    rows, edges, whole = _history(spark, sf_dir)
+    _, labels = layout.remove_conflicts(edges, rows)
+    held = rows.join(whole.select(F.col("node").alias("base"), "k"), "base")
+    return labels.join(whole, "node").join(intervals.conflicted(held, ["k"]), "k", "left_anti").select("node", "label")
+
+
+@query(f"""{CLEAN_SQL} SELECT count(*)::BIGINT AS nodes, 0::BIGINT AS conflicted, 0::BIGINT AS strangers FROM node""")
+def conflict_free_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No component keeps a conflict between two nodes, none is lost, and none joins orders of two customers."""
+    rows, edges, whole = _history(spark, sf_dir)
+    _, labels = layout.remove_conflicts(edges, rows)
+    held = rows.join(labels.select(F.col("node").alias("base"), "label"), "base")
+    strangers = labels.join(whole, "node").groupBy("label").agg(F.count_distinct("k").alias("n")).where("n > 1")
+    counts = [labels.select("node").distinct(), intervals.cross_conflicted(held, "label", "base"), strangers]
+    one = [x.agg(F.count("*").alias(n)) for x, n in zip(counts, ("nodes", "conflicted", "strangers"))]
+    return one[0].withColumn("_", F.lit(1)).join(one[1].withColumn("_", F.lit(1)), "_").join(one[2].withColumn("_", F.lit(1)), "_").drop("_")
+
+
+def _history(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(fields, edges, orders with their customer k): orders linked along each customer's history."""
     from pyspark.sql import Window
 
     rows = accesses(spark, sf_dir).select(F.col("base").cast("string").alias("base"), "offset", "size").distinct()
     nxt = F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
-    edges = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("src"), nxt.cast("string").alias("dst")).where("dst IS NOT NULL")
+    orders = table(spark, sf_dir, "orders")
+    edges = orders.select(F.col("o_orderkey").cast("string").alias("src"), nxt.cast("string").alias("dst")).where("dst IS NOT NULL")
+    return rows, edges, orders.select(F.col("o_orderkey").cast("string").alias("node"), F.col("o_custkey").alias("k"))
+
+
+@query(None)
+def conflict_free_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders linked along each customer's history; conflicting layouts are cut apart. clean_components and conflict_free_invariants hold it against SQL."""
+    rows, edges, _ = _history(spark, sf_dir)
     _, labels = layout.remove_conflicts(edges, rows)
     return labels
 
 
-@query(None)
+@query("""WITH RECURSIVE n AS (SELECT p_brand AS grp, count(*) AS n, arg_max(p_partkey, (p_retailprice, -p_partkey)) AS player FROM part GROUP BY 1), s AS (SELECT grp, n AS w, 0::BIGINT AS l, 0 AS r FROM n
+ UNION ALL SELECT grp, CASE WHEN w = 1 AND l = 1 THEN 1 ELSE (w + 1) // 2 END, CASE WHEN w = 1 AND l = 1 THEN 0 ELSE (l + 1) // 2 + w // 2 END, r + 1 FROM s WHERE w + l > 1) SELECT s.grp, player, max(r)::INT AS rounds FROM s JOIN n ON n.grp = s.grp GROUP BY 1, 2""")
 def tournament_champion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By a judge that goes by price the dearest part of a brand wins, whatever the pairing."""
     players = table(spark, sf_dir, "part").select(F.col("p_brand").alias("grp"), F.col("p_partkey").alias("player"), F.col("p_retailprice").alias("score"))
     return tournament.run_tournaments(players)[0]
 
@@ -137,12 +171,16 @@ def range_layout_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tournament.merge_ranges_of_champions(base, ranges, other)
 
 
-@query(f"""{PARTS}, {MODE_SQL} SELECT base AS c, '{{"desc":"Structure","layout":{{' || string_agg('"0x' || lower(to_hex("offset")) || '":{{"desc":"Primitive","size":' || size || ',"type":"' || dt || '","name":"field_0x' || lower(to_hex("offset")) || '"}}', ',' ORDER BY "offset") || '}}}}' AS doc FROM mode GROUP BY base""")
+@query(f"""{PARTS}, {MODE_SQL}, m AS (SELECT base AS c, "offset" AS o, size::VARCHAR AS size, CASE WHEN base % 3 = 0 AND "offset" = 0 THEN 'Pointer' ELSE 'Primitive' END AS d, CASE WHEN base % 3 = 0 AND "offset" = 0 THEN 'void' || repeat('*', 1 + base % 2) ELSE dt END AS type, CASE WHEN base % 3 = 0 AND "offset" = 0 THEN 'ref_' ELSE 'field_' END AS stem FROM mode WHERE NOT (base % 5 = 0 AND "offset" >= 8 AND "offset" < 16)
+ UNION ALL SELECT DISTINCT base, 8, '8', 'Array', 'array of 4', 'array_field_' FROM mode WHERE base % 5 = 0)
+SELECT c, '{{"desc":"Structure","layout":{{' || string_agg('"0x' || lower(to_hex(o)) || '":{{"desc":"' || d || '","size":' || size || ',"type":"' || type || '","name":"' || stem || '0x' || lower(to_hex(o)) || '"}}', ',' ORDER BY o) || '}}}}' AS doc FROM m GROUP BY c""")
 def emit_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Layouts with pointers at the start of every third part and an array in every fifth."""
     modes = _named(fields.most_accessed(accesses(spark, sf_dir, "l_partkey")))
-    none = modes.where("false")
-    members = candidates.components_by_mode(modes, none.select("c", "offset", F.lit(1).alias("ptr_level")), none.select("c", F.col("offset").alias("start"), F.col("offset").alias("end"), F.col("size").alias("element_size")))
-    return sources.struct_document(members)
+    owners = modes.select("c").distinct()
+    refs = modes.where("c % 3 = 0 AND offset = 0").select("c", "offset", (1 + F.col("c") % 2).cast("int").alias("ptr_level"))
+    arrays = owners.where("c % 5 = 0").select("c", F.lit(8).cast("long").alias("start"), F.lit(16).cast("long").alias("end"), F.lit(4).alias("element_size"))
+    return sources.struct_document(candidates.components_by_mode(modes, refs, arrays))
 
 
 @query("""SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events""")
@@ -156,7 +194,8 @@ def windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy(F.window("ts", "5 minutes").alias("w"), "user_id", "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "user_id", "event_type", "n")
 
 
-@query(None)
+@query("""WITH l AS (SELECT DISTINCT l_orderkey AS o, l_linenumber AS n, CASE WHEN l_linenumber = 1 THEN '*p' ELSE '*(p + 0x' || lower(to_hex((l_linenumber - 1) * 8)) || ')' END AS v FROM lineitem)
+SELECT 'p' AS base, ((n - 1) * 8)::BIGINT AS "offset", v AS field_expr, 'f' || o || ':' || n || ':1' AS op, 'LOAD' AS access_type, 'qword' AS dt, 8 AS size, 0::BIGINT AS scale FROM l UNION ALL SELECT v, 0, '*' || v, 'f' || o || ':' || n || ':2', 'STORE', 'dword', 4, 0 FROM l""")
 def interpreted_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each order as a function that loads its lines' fields: p + 4 * line, then a store through the loaded pointer."""
     line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity").distinct()

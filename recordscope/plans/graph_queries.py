@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import calls, graph, sizes, types
+from ..storage import materialize
 from .views import GEOGRAPHY_SQL, TURNS_SQL, geography, table, turns
 
 Q: dict = {}
@@ -22,16 +23,12 @@ def query(sql: str | None):
     return put
 
 
-def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'")
-    return rows.select((-F.col("o_custkey")).alias("src"), F.col("o_orderkey").alias("dst"))
-
-
-@query("""WITH e AS (SELECT -o_custkey AS c, min(-o_custkey) AS label FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)
-SELECT o_orderkey AS node, -o_custkey AS label FROM orders WHERE o_orderstatus = 'F' UNION SELECT c, c FROM e UNION SELECT -c_custkey, -c_custkey FROM customer WHERE -c_custkey NOT IN (SELECT c FROM e)""")
+@query("""SELECT 'o' || o_orderkey AS node, 'c' || o_custkey AS label FROM orders UNION SELECT 'c' || o_custkey, 'c' || o_custkey FROM orders UNION SELECT 'c' || c_custkey, 'c' || c_custkey FROM customer""")
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    everyone = table(spark, sf_dir, "customer").select((-F.col("c_custkey")).alias("node"))
-    return graph.min_labels(_orders(spark, sf_dir), nodes=everyone)
+    """Every order with its customer; customers without orders are alone."""
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    edges = table(spark, sf_dir, "orders").select(name("c", "o_custkey").alias("src"), name("o", "o_orderkey").alias("dst"))
+    return graph.min_labels(edges, nodes=table(spark, sf_dir, "customer").select(name("c", "c_custkey").alias("node")))
 
 
 @query(f"WITH {GEOGRAPHY_SQL}, n AS (SELECT src AS node, 0 AS i, 1 AS o FROM geo UNION ALL SELECT dst, 1, 0 FROM geo) SELECT node, CASE WHEN sum(i) = 0 THEN 'source' ELSE 'sink' END AS role FROM n GROUP BY node HAVING sum(i) = 0 OR sum(o) = 0")
@@ -47,23 +44,37 @@ def all_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.simple_paths(geography(spark, sf_dir)).select(F.array_join("path", ">").alias("path"))
 
 
-@query("""WITH b AS (SELECT DISTINCT 'c' || c_custkey AS src, 'n' || c_nationkey AS dst FROM customer WHERE c_custkey % 50 = 0) SELECT src, dst FROM b UNION SELECT dst, src FROM b""")
+def _with_back_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The geography, and an edge back to the nation from each customer in debt."""
+    back = table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("src"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("dst"))
+    return geography(spark, sf_dir).select("src", "dst").unionByName(back)
+
+
+@query("""WITH b AS (SELECT DISTINCT 'c' || c_custkey AS src, 'n' || c_nationkey AS dst FROM customer WHERE c_acctbal < 0) SELECT src, dst FROM b UNION SELECT dst, src FROM b""")
 def backward_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges back from some customers lie on no simple path from a source to a sink."""
-    forward = geography(spark, sf_dir).select("src", "dst")
-    back = table(spark, sf_dir, "customer").where("c_custkey % 50 = 0").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("src"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("dst"))
-    edges = forward.unionByName(back)
+    """Edges back from customers in debt lie on no simple path from a source to a sink."""
+    edges = _with_back_edges(spark, sf_dir)
     return graph.backward_edges(edges, graph.simple_paths(edges))
 
 
-@query("""SELECT DISTINCT 'c' || c_custkey AS node FROM customer WHERE c_custkey % 50 = 0""")
+@query("""SELECT DISTINCT 'c' || c_custkey AS node FROM customer WHERE c_acctbal < 0""")
 def uncovered_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers with an edge back are no sinks, so no path ends there."""
-    back = table(spark, sf_dir, "customer").where("c_custkey % 50 = 0").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("src"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("dst"))
-    edges = geography(spark, sf_dir).select("src", "dst").unionByName(back)
+    edges = _with_back_edges(spark, sf_dir)
     return graph.uncovered_nodes(edges, graph.simple_paths(edges))
 
 
+@query("""SELECT conv_id || ':0' AS path FROM conversations GROUP BY conv_id HAVING max(turn) >= 1 UNION ALL SELECT string_agg(conv_id || ':' || turn, '>' ORDER BY turn) FROM conversations WHERE turn >= 1 GROUP BY conv_id""")
+def covered_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations closed to rings have no sources and sinks: the first turn covers itself, the others follow on one path."""
+    name = lambda t: F.concat(F.col("conv_id").cast("string"), F.lit(":"), t.cast("string"))
+    back = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max("turn").alias("last")).where("last >= 1").select(name(F.col("last")).alias("src"), name(F.lit(0)).alias("dst"))
+    edges = materialize(turns(spark, sf_dir).unionByName(back), "edges")
+    paths = materialize(graph.cover(edges, graph.simple_paths(edges)), "covered")
+    graph.assert_covered(edges, paths)
+    return paths.select(F.array_join("path", ">").alias("path"))
+
+
 REACH_SQL = f"""WITH RECURSIVE {TURNS_SQL}, s AS (SELECT DISTINCT conv_id || ':' || turn AS node FROM conversations WHERE turn = 4),
 r AS (SELECT node AS seed, node, 0 AS depth FROM s UNION SELECT r.seed, steps.src, r.depth + 1 FROM r JOIN steps ON steps.dst = r.node WHERE r.depth < 3)"""
 
@@ -74,11 +85,11 @@ def reach_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.reach(turns(spark, sf_dir), seeds, forward=False, depth=3)
 
 
-@query(f"""WITH RECURSIVE {TURNS_SQL}, t AS (SELECT DISTINCT conv_id, turn, conv_id || ':' || turn AS src, conv_id || ':' || (turn * 2) AS dst FROM conversations WHERE turn <= 3),
+@query(f"""WITH RECURSIVE {TURNS_SQL}, t AS (SELECT DISTINCT conv_id, turn, conv_id || ':' || turn AS src, conv_id || ':' || (turn * 2) AS dst FROM conversations),
 r AS (SELECT src AS seed, src AS node FROM t UNION SELECT r.seed, steps.dst FROM r JOIN steps ON steps.src = r.node) SELECT src, dst, EXISTS (SELECT 1 FROM r WHERE seed = src AND node = dst) AS has_path FROM t""")
 def path_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = lambda t: F.concat(F.col("conv_id").cast("string"), F.lit(":"), t.cast("string"))
-    pairs = table(spark, sf_dir, "conversations").where("turn <= 3").select(name(F.col("turn")).alias("src"), name(F.col("turn") * 2).alias("dst")).distinct()
+    pairs = table(spark, sf_dir, "conversations").select(name(F.col("turn")).alias("src"), name(F.col("turn") * 2).alias("dst")).distinct()
     return graph.path_exists(turns(spark, sf_dir), pairs)
 
 
@@ -131,17 +142,32 @@ def call_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calls.call_roots(functions, insts)
 
 
-@query("""WITH a AS (SELECT l_orderkey AS cs, l_linenumber AS idx, l_suppkey AS callee, l_partkey AS src FROM lineitem), p AS (SELECT s_suppkey AS callee, i AS idx, s_suppkey * 10 + i AS dst FROM supplier, range(1, 4) t(i))
-SELECT DISTINCT src, dst, 'CALL' AS edge_type FROM a JOIN p USING (callee, idx) WHERE src <> dst""")
+STITCH_SQL = "a AS (SELECT l_orderkey % 101 AS caller, l_linenumber AS idx, l_suppkey AS callee, l_partkey AS src FROM lineitem WHERE l_orderkey % 101 <> l_suppkey)"
+
+
+def _calls(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(call sites, functions, facts): each line is a call of its supplier by one of 101 functions, some of them suppliers, with the part as the argument in its place and the receiver."""
+    line, caller = table(spark, sf_dir, "lineitem"), (F.col("l_orderkey") % 101).alias("caller")
+    args = F.array(*[F.when(F.col("l_linenumber") == k + 1, F.col("l_partkey")) for k in range(7)])
+    sites = line.select(F.col("l_orderkey").alias("cs"), caller, F.col("l_suppkey").alias("callee_entry"), args.alias("args"), F.col("l_partkey").alias("receiver"))
+    functions = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("func"), F.col("s_suppkey").alias("entry"))
+    return sites, functions, line.select(caller.alias("func"), F.col("l_partkey").alias("vn"), F.col("l_partkey").alias("expr")).distinct()
+
+
+@query(f"""WITH {STITCH_SQL}, p AS (SELECT s_suppkey AS callee, i AS idx, s_suppkey * 10 + i AS dst FROM supplier, range(1, 8) t(i) WHERE i <= 2 + s_nationkey % 6) SELECT DISTINCT src, dst, 'CALL' AS edge_type FROM a JOIN p USING (callee, idx) WHERE src <> dst""")
 def arg_param_stitch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = table(spark, sf_dir, "lineitem").where("l_linenumber <= 3")
-    blank = lambda k: F.when(F.col("l_linenumber") == k + 1, F.col("l_partkey"))
-    sites = line.select(F.col("l_orderkey").alias("cs"), F.lit(-1).cast("long").alias("caller"), F.col("l_suppkey").alias("callee_entry"), F.array(blank(0), blank(1), blank(2)).alias("args"))
-    suppliers = table(spark, sf_dir, "supplier")
-    functions = suppliers.select(F.col("s_suppkey").alias("func"), F.col("s_suppkey").alias("entry"))
-    params = suppliers.select(F.col("s_suppkey").alias("func"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("idx")).select("func", "idx", (F.col("func") * 10 + F.col("idx") + 1).alias("expr"))
-    facts = table(spark, sf_dir, "lineitem").select(F.lit(-1).cast("long").alias("func"), F.col("l_partkey").alias("vn"), F.col("l_partkey").alias("expr")).distinct()
-    return calls.stitch_arguments(sites, functions, params, facts)
+    """Arguments to parameters but for recursive calls; vararg callees have a fixed number."""
+    sites, functions, facts = _calls(spark, sf_dir)
+    params = functions.select("func", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("idx")).select("func", "idx", (F.col("func") * 10 + F.col("idx") + 1).alias("expr"))
+    fixed = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("callee"), (2 + F.col("s_nationkey") % 6).alias("fixed"))
+    return calls.stitch_arguments(sites, functions, params, facts, fixed)
+
+
+@query(f"""WITH {STITCH_SQL} SELECT DISTINCT callee * 1000 + 7 AS src, a.src AS dst, 'RETURN' AS edge_type FROM a JOIN supplier ON s_suppkey = callee WHERE callee * 1000 + 7 <> a.src""")
+def return_stitch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each supplier's function returns, to the receivers of its calls."""
+    sites, functions, facts = _calls(spark, sf_dir)
+    return calls.stitch_returns(sites, functions, functions.select("func", (F.col("func") * 1000 + 7).alias("expr")), facts)
 
 
 @query("""WITH c AS (SELECT event_id AS cs, CASE event_id % 4 WHEN 0 THEN 'malloc' WHEN 1 THEN 'calloc' WHEN 2 THEN 'memcpy' ELSE 'free' END AS name, user_id % 9 AS a, event_id % 5 AS b FROM events)
@@ -155,38 +181,43 @@ def alloc_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calls.external_sizes(rows)
 
 
-@query("""WITH a AS (SELECT user_id AS cs, max(event_id % 16) AS v FROM events WHERE event_id % 3 = 0 GROUP BY 1), b AS (SELECT user_id AS cs, min(event_id % 64) AS v FROM events WHERE event_id % 5 = 0 GROUP BY 1) SELECT a.cs, (a.v * b.v)::BIGINT AS size FROM a JOIN b USING (cs)""")
+@query("""WITH a AS (SELECT user_id AS cs, max(event_id % 16) AS v FROM events WHERE event_type = 'click' GROUP BY 1), b AS (SELECT user_id AS cs, min(event_id % 64) AS v FROM events WHERE event_type <> 'click' GROUP BY 1) SELECT a.cs, (a.v * b.v)::BIGINT AS size FROM a JOIN b USING (cs)""")
 def calloc_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks tell a count, all other events a size."""
     events = table(spark, sf_dir, "events")
-    counts = events.where("event_id % 3 = 0").groupBy(F.col("user_id").alias("cs")).agg(F.max(F.col("event_id") % 16).alias("value"))
-    each = events.where("event_id % 5 = 0").groupBy(F.col("user_id").alias("cs")).agg(F.min(F.col("event_id") % 64).alias("value"))
+    counts = events.where("event_type = 'click'").groupBy(F.col("user_id").alias("cs")).agg(F.max(F.col("event_id") % 16).alias("value"))
+    each = events.where("event_type <> 'click'").groupBy(F.col("user_id").alias("cs")).agg(F.min(F.col("event_id") % 64).alias("value"))
     return calls.calloc_sizes(counts, each)
 
 
-@query("""WITH n AS (SELECT l_suppkey AS callee, l_orderkey, count(*) AS n FROM lineitem WHERE l_partkey % 40 = 0 GROUP BY 1, 2 UNION ALL SELECT s_suppkey, -1, 1 FROM supplier) SELECT callee, min(n)::BIGINT AS fixed FROM n GROUP BY callee HAVING count(DISTINCT n) > 1""")
+@query("""WITH n AS (SELECT l_partkey AS callee, l_orderkey, count(*) AS n FROM lineitem GROUP BY 1, 2 UNION ALL SELECT p_partkey, -1, 1 + p_size % 2 FROM part) SELECT callee, min(n)::BIGINT AS fixed FROM n GROUP BY callee HAVING count(DISTINCT n) > 1""")
 def vararg_min(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sites = table(spark, sf_dir, "lineitem").where("l_partkey % 40 = 0").groupBy(F.col("l_suppkey").alias("callee"), "l_orderkey").agg(F.count("*").alias("n_args"))
-    return calls.vararg_functions(sites, table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("callee"), F.lit(1).cast("long").alias("n_params")))
+    sites = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("callee"), "l_orderkey").agg(F.count("*").alias("n_args"))
+    return calls.vararg_functions(sites, table(spark, sf_dir, "part").select(F.col("p_partkey").alias("callee"), (1 + F.col("p_size") % 2).cast("long").alias("n_params")))
 
 
-@query("""WITH s AS (SELECT c_nationkey % 25 AS expr, (c_custkey % 2 + 1) * 8 AS size, 'CALLSITE' AS t FROM customer WHERE c_custkey % 7 = c_nationkey % 7 UNION ALL SELECT s_nationkey, (s_nationkey % 3 + 1) * 8, 'EXPRESSION' FROM supplier),
+@query("""WITH s AS (SELECT c_custkey // 3 AS expr, (c_nationkey % 2 + 1) * 8 AS size, 'CALLSITE' AS t FROM customer UNION ALL SELECT s_suppkey, (s_nationkey % 3 + 1) * 8, 'EXPRESSION' FROM supplier),
 p AS (SELECT expr, expr % 2 = 0 AS stack, count(DISTINCT size) AS n, max(size) AS only_size, count(DISTINCT CASE WHEN t = 'CALLSITE' THEN size END) AS ns, count(DISTINCT CASE WHEN t = 'EXPRESSION' THEN size END) AS ne, max(CASE WHEN t = 'CALLSITE' THEN size END) AS site, max(CASE WHEN t = 'EXPRESSION' THEN size END) AS own FROM s GROUP BY 1),
 z AS (SELECT expr, CASE WHEN n = 1 THEN only_size WHEN stack AND ns = 1 THEN site WHEN NOT stack AND ns = 1 AND ne = 1 THEN greatest(site, own) END AS size FROM p) SELECT expr, coalesce(size, -1)::BIGINT AS size, size IS NULL AS is_union FROM z""")
 def size_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = table(spark, sf_dir, "customer").where("c_custkey % 7 = c_nationkey % 7").select((F.col("c_nationkey") % 25).alias("expr"), ((F.col("c_custkey") % 2 + 1) * 8).cast("long").alias("size"), F.lit("CALLSITE").alias("source_type"))
-    b = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("expr"), ((F.col("s_nationkey") % 3 + 1) * 8).cast("long").alias("size"), F.lit("EXPRESSION").alias("source_type"))
+    a = table(spark, sf_dir, "customer").select(F.expr("c_custkey div 3").alias("expr"), ((F.col("c_nationkey") % 2 + 1) * 8).cast("long").alias("size"), F.lit("CALLSITE").alias("source_type"))
+    b = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("expr"), ((F.col("s_nationkey") % 3 + 1) * 8).cast("long").alias("size"), F.lit("EXPRESSION").alias("source_type"))
     return sizes.resolve_sizes(a.unionByName(b).withColumn("on_stack", F.col("expr") % 2 == 0)).fillna({"size": -1})
 
 
-@query(f"""WITH {GEOGRAPHY_SQL}, s AS (SELECT 'r' || r_regionkey AS node, (r_regionkey % 2 + 1) * 16 AS size FROM region UNION ALL SELECT 'n' || n_nationkey, 16 FROM nation WHERE n_nationkey % 5 = 0),
-n AS (SELECT 'n' || n_nationkey AS node, 'r' || n_regionkey AS reg, coalesce(own.size, up.size) AS size, own.size IS NOT NULL AND own.size <> up.size AS conflict FROM nation LEFT JOIN s own ON own.node = 'n' || n_nationkey JOIN s up ON up.node = 'r' || n_regionkey),
-l AS (SELECT dst AS node, n.size FROM geo JOIN n ON n.node = src WHERE NOT conflict),
-r AS (SELECT node, size, EXISTS (SELECT 1 FROM n WHERE n.reg = s.node AND n.conflict AND false) AS conflict FROM s WHERE node LIKE 'r%')
-SELECT node, size::BIGINT AS size, conflict FROM n UNION ALL SELECT node, size, false FROM l UNION ALL SELECT node, size, conflict FROM r""")
+@query("""WITH s AS (SELECT 'n' || n_nationkey AS node, (1 + n_nationkey % 4 // 2) * 16 AS size FROM nation WHERE n_nationkey % 2 = 0), own AS (SELECT 'c' || c_custkey AS node, 16 * (1 + (c_acctbal < 0)::INT) AS size FROM customer WHERE c_acctbal < 100),
+leaf AS (SELECT 'c' || c_custkey AS node, 'n' || c_nationkey AS nat FROM customer UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier),
+f AS (SELECT leaf.node, nat, coalesce(own.size, s.size) AS size, coalesce(own.size <> s.size, false) AS conflict FROM leaf LEFT JOIN own ON own.node = leaf.node LEFT JOIN s ON s.node = nat WHERE own.size IS NOT NULL OR s.size IS NOT NULL),
+o AS (SELECT nat, min(size) AS lo, max(size) AS hi FROM f WHERE NOT conflict GROUP BY nat),
+n AS (SELECT 'n' || n_nationkey AS node, 'r' || n_regionkey AS reg, s.size IS NULL AS new, coalesce(s.size, lo) AS size, coalesce(lo <> hi OR coalesce(s.size, lo) <> lo, false) AS conflict FROM nation LEFT JOIN s ON s.node = 'n' || n_nationkey LEFT JOIN o ON o.nat = 'n' || n_nationkey WHERE s.size IS NOT NULL OR lo IS NOT NULL),
+r1 AS (SELECT 'r' || n_regionkey AS node, min(size) AS lo, max(size) AS hi FROM nation JOIN s ON s.node = 'n' || n_nationkey GROUP BY 1), r2 AS (SELECT reg AS node, min(size) AS lo, max(size) AS hi FROM n WHERE new AND NOT conflict GROUP BY 1),
+r AS (SELECT coalesce(r1.node, r2.node) AS node, coalesce(r1.lo, r2.lo) AS size, coalesce(r1.lo <> r1.hi, false) OR coalesce(r2.lo <> r2.hi OR coalesce(r1.lo, r2.lo) <> r2.lo, false) AS conflict FROM r1 FULL JOIN r2 ON r1.node = r2.node)
+SELECT node, size::BIGINT AS size, conflict FROM f UNION ALL SELECT node, size, conflict FROM n UNION ALL SELECT node, size, conflict FROM r""")
 def size_propagate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = table(spark, sf_dir, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("node"), ((F.col("r_regionkey") % 2 + 1) * 16).cast("long").alias("size"))
-    b = table(spark, sf_dir, "nation").where("n_nationkey % 5 = 0").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("node"), F.lit(16).cast("long").alias("size"))
-    return sizes.propagate_sizes(geography(spark, sf_dir), a.unionByName(b))
+    """Half of the nations and poor customers have sizes: they spread down to customers and suppliers, then up to nations and regions."""
+    nations = table(spark, sf_dir, "nation").where("n_nationkey % 2 = 0").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("node"), F.expr("(1 + n_nationkey % 4 div 2) * 16").cast("long").alias("size"))
+    poor = table(spark, sf_dir, "customer").where("c_acctbal < 100").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("node"), (16 * (1 + (F.col("c_acctbal") < 0).cast("int"))).cast("long").alias("size"))
+    return sizes.propagate_sizes(geography(spark, sf_dir), nations.unionByName(poor))
 
 
 TYPES_SQL = """t AS (SELECT 'P' || p_partkey AS dt, CASE WHEN p_partkey % 10 = 0 THEN 'struct' WHEN p_partkey % 10 = 1 THEN 'union' WHEN p_partkey % 10 IN (2, 3, 4, 5) THEN 'pointer' WHEN p_partkey % 10 = 6 THEN 'typedef' ELSE 'primitive' END AS kind, CASE WHEN p_size % 2 = 0 THEN '/DWARF/a' ELSE '/lib' END AS category,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import functions as S
@@ -153,17 +153,23 @@ def sliding_repeat_primitive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("base", "start", "end", "repeats", F.element_at("shape", 1)["size"].alias("size"))
 
 
-@query(f"""WITH {BANDS}, w AS (SELECT base, idx, "offset" AS o1, size AS s1, lead("offset") OVER k AS o2, lead(size) OVER k AS s2 FROM f WINDOW k AS (PARTITION BY base ORDER BY idx)),
-ok AS (SELECT *, idx % 2 AS lane, ceil((ceil(s1 / s2) * s2 + s2) / greatest(s1, s2))::BIGINT * greatest(s1, s2) AS span FROM w WHERE s2 IS NOT NULL AND s1 <> s2 AND o2 = o1 + (ceil(s1 / s2) * s2)::BIGINT),
-c AS (SELECT *, CASE WHEN idx - lag(idx) OVER k = 2 AND s1 = lag(s1) OVER k AND s2 = lag(s2) OVER k AND o1 - lag(o1) OVER k = lag(span) OVER k THEN 0 ELSE 1 END AS brk FROM ok WINDOW k AS (PARTITION BY base, lane ORDER BY idx)),
-i AS (SELECT *, sum(brk) OVER (PARTITION BY base, lane ORDER BY idx) AS island FROM c), r AS (SELECT base, lane, min(o1) AS start, count(*) AS repeats, min(span) AS span FROM i GROUP BY base, lane, island),
-e AS (SELECT base, start::BIGINT AS start, (start + repeats * span)::BIGINT AS "end", repeats::BIGINT AS repeats FROM r WHERE repeats >= 2)
-SELECT base, start, "end", repeats FROM (SELECT *, max("end") OVER (PARTITION BY base ORDER BY start, "end" DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM e) WHERE reach IS NULL OR "end" > reach""")
+#: Wide records: four parts make a base of up to 28 fields, so that windows of up to nine fields can repeat three times.
+WIDE = """b AS (SELECT l_partkey // 4 AS base, ((l_partkey % 4) * 7 + l_linenumber - 1) * 2::BIGINT AS "offset", least(max(CASE WHEN l_quantity <= 25 THEN 1 WHEN l_quantity <= 48 THEN 2 ELSE 4 END), 2) AS size FROM lineitem GROUP BY 1, 2),
+l AS (SELECT base, list("offset" ORDER BY "offset") AS o, list(size ORDER BY "offset") AS s FROM b GROUP BY base)"""
+
+
+@query(f"""WITH {WIDE}, c AS (SELECT l.*, cap FROM l, range(2, 15) t(cap) WHERE len(o) >= cap), i AS (SELECT *, unnest(range(0, len(o) - cap + 1)) AS idx FROM c),
+w AS (SELECT base, cap, idx, o[idx + 1] AS o1, list_transform(o[idx + 1:idx + cap], lambda x: x - o[idx + 1]) AS rel, s[idx + 1:idx + cap] AS z FROM i),
+k AS (SELECT *, rel[cap] + z[cap] AS used, list_max(z) AS most FROM w WHERE list_min(z) < list_max(z) AND len(list_filter(range(2, cap + 1), lambda j: rel[j] <> ceil((rel[j - 1] + z[j - 1]) / z[j])::BIGINT * z[j])) = 0),
+g AS (SELECT *, ceil(used / most)::BIGINT * most AS span, idx % cap AS lane FROM k), m AS (SELECT *, CASE WHEN idx - lag(idx) OVER q = cap AND rel = lag(rel) OVER q AND z = lag(z) OVER q AND o1 - lag(o1) OVER q = lag(span) OVER q THEN 0 ELSE 1 END AS brk FROM g WINDOW q AS (PARTITION BY base, cap, lane ORDER BY idx)),
+n AS (SELECT *, sum(brk) OVER (PARTITION BY base, cap, lane ORDER BY idx) AS island FROM m), r AS (SELECT base, cap, min(o1) AS start, min(o1) + count(*) * min(span) AS "end", count(*) AS repeats, any_value(rel) AS rel, any_value(z) AS z FROM n GROUP BY base, cap, lane, island HAVING count(*) >= 3),
+h AS (SELECT *, max("end") OVER (PARTITION BY base, rel, z ORDER BY start, "end" DESC, cap ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM r)
+SELECT base, start::BIGINT AS start, "end"::BIGINT AS "end", repeats::BIGINT AS repeats, cap::INT AS capacity FROM h WHERE reach IS NULL OR "end" > reach""")
 def sliding_repeat_complex(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeats of pairs, without those inside of any other, as the SQL has it: less than the operator finds."""
-    found = windows.complex_repeats(bands(spark, sf_dir), threshold=2, most=2).select("base", "start", "end", "repeats")
-    before = Window.partitionBy("base").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
-    return found.withColumn("_reach", F.max("end").over(before)).where("_reach IS NULL OR end > _reach").drop("_reach")
+    """Repeats of records of any width, by the operator's own threshold."""
+    band = F.when(F.col("l_quantity") <= 25, 1).when(F.col("l_quantity") <= 48, 2).otherwise(4)
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.expr("l_partkey div 4").alias("base"), (((F.col("l_partkey") % 4) * 7 + F.col("l_linenumber") - 1) * 2).alias("offset")).agg(F.least(F.max(band), F.lit(2)).alias("size"))
+    return windows.complex_repeats(rows.withColumn("kind", F.concat(F.lit("u"), F.col("size").cast("string")))).select("base", "start", "end", "repeats", "capacity")
 
 
 @query(f"""WITH {accesses_sql("l_partkey")}, {MODE_SQL}, l AS (SELECT base, string_agg("offset" || ':' || size, ',' ORDER BY "offset") AS layout_key FROM mode GROUP BY base) SELECT layout_key, min(base) AS base, count(*)::BIGINT AS bases FROM l GROUP BY 1""")
