@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import domain_queries, graph_queries, layout_queries
+from . import domain_queries, fact_queries, graph_queries, layout_queries
 
-MODULES = (layout_queries, graph_queries, domain_queries)
+MODULES = (layout_queries, graph_queries, domain_queries, fact_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
