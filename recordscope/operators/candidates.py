@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import field_name, hash31, hex_text
+from ..functions import field_name, hash31, hex_text, unique_names
 from .windows import complex_repeats, primitive_repeats
 
 
@@ -29,6 +29,14 @@ def repeat_candidates(fields: DataFrame, pointer_size: int = 8) -> DataFrame:
     return both.select(F.col("base").alias("c"), "start", "end", "kind", "capacity", "repeats")
 
 
+def anonymous_records(fields: DataFrame, pointer_size: int = 8) -> DataFrame:
+    """(c, start, end, name, shape, repeats): the anonymous record that each complex repeat is an array of; equal shapes share a name. fields: (c, offset, size, kind)."""
+    found = complex_repeats(fields.withColumnRenamed("c", "base"), pointer_size=pointer_size)
+    part = lambda x: F.concat_ws(":", x["at"], x["size"], x["kind"])
+    # Members are told apart by their places, so the set of them is the shape.
+    return found.select(F.col("base").alias("c"), "start", "end", unique_names("Anon", F.transform("shape", part)).alias("name"), "shape", "repeats")
+
+
 def dedup_candidates(candidates: DataFrame) -> DataFrame:
     """The first by name of candidates with one layout hash in one range. candidates: (c, start, end, name, layout_hash)."""
     order = Window.partitionBy("c", "start", "end", "layout_hash").orderBy("name")
@@ -40,20 +48,23 @@ def generate(constraints: DataFrame, fields: DataFrame, profile: DataFrame, size
 
     Primitive arrays have global candidates, the element type and the plain layout.
     """
-    order = F.struct("offset", "size")
-    plain = fields.groupBy("c").agg(F.array_sort(F.collect_list(order)).alias("layout"))
-    hashed = plain.select("c", hash31(F.flatten(F.transform("layout", lambda f: F.array(f["offset"].cast("long"), f["size"].cast("long"))))).alias("plain"))
-    arrays = constraints.join(marks.where("mark = 'primitive_array'").select("c", "final_type"), "c")
+    plain = fields.groupBy("c").agg(F.array_sort(F.collect_list(F.struct(F.col("offset").cast("long").alias("offset"), F.col("size").cast("long").alias("size")))).alias("layout"))
     none = F.lit(None).cast("long")
-    whole = arrays.select("c", F.lit("global").alias("scope"), none.alias("start"), none.alias("end"), F.explode(F.array(F.struct(F.col("final_type").alias("name"), F.lit("primitive").alias("kind")), F.struct(F.lit("plain").alias("name"), F.lit("struct").alias("kind")))).alias("x")).select("c", "scope", "start", "end", "x.name", "x.kind")
+    whole = constraints.join(marks.where("mark = 'primitive_array'").select("c", "final_type"), "c")
+    whole = whole.select("c", F.lit("global").alias("scope"), none.alias("start"), none.alias("end"), F.explode(F.array(F.struct(F.col("final_type").alias("name"), F.lit("primitive").alias("kind")), F.struct(F.lit("plain").alias("name"), F.lit("struct").alias("kind")))).alias("x"))
+    whole = whole.select("c", "scope", "start", "end", "x.name", "x.kind", none.alias("own"))
     others = constraints.join(marks.select("c"), "c", "left_anti")
-    variants = size_variants(profile, sizes, refs).select("c", F.lit("range").alias("scope"), F.col("start").cast("long"), F.col("end").cast("long"), F.concat_ws("_", "kind", hex_text(F.col("start")), F.coalesce(F.col("size").cast("string"), F.lit("all"))).alias("name"), "kind")
-    runs = repeat_candidates(fields).select("c", F.lit("range").alias("scope"), F.col("start").cast("long"), F.col("end").cast("long"), F.concat_ws("_", "kind", hex_text(F.col("start")), F.col("capacity").cast("string")).alias("name"), "kind")
+    at = (F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+    variants = size_variants(profile, sizes, refs).select("c", F.lit("range").alias("scope"), *at, F.concat_ws("_", "kind", hex_text(F.col("start")), F.coalesce(F.col("size").cast("string"), F.lit("all"))).alias("name"), "kind", F.col("size").cast("long").alias("own"))
+    runs = repeat_candidates(fields).select("c", F.lit("range").alias("scope"), *at, F.concat_ws("_", "kind", hex_text(F.col("start")), F.col("capacity").cast("string")).alias("name"), "kind", none.alias("own"))
     ranged = others.select("c").join(variants.unionByName(runs), "c")
     made = whole.unionByName(ranged)
-    final = others.select("c").join(made.select("c").distinct(), "c", "left_anti").select("c", F.lit("final").alias("scope"), none.alias("start"), none.alias("end"), F.lit("plain").alias("name"), F.lit("struct").alias("kind"))
-    out = made.unionByName(final).join(hashed, "c", "left")
-    return dedup_candidates(out.withColumn("layout_hash", F.when(F.col("kind") == "struct", F.coalesce("plain", F.lit(0))).otherwise(F.xxhash64("name"))).drop("plain"))
+    final = others.select("c").join(made.select("c").distinct(), "c", "left_anti").select("c", F.lit("final").alias("scope"), none.alias("start"), none.alias("end"), F.lit("plain").alias("name"), F.lit("struct").alias("kind"), none.alias("own"))
+    out = made.unionByName(final).join(plain, "c", "left")
+    # A variant's layout is the plain one with its own size at the start of its range.
+    held = F.transform("layout", lambda f: F.struct(f["offset"].alias("offset"), F.when(F.col("own").isNotNull() & (f["offset"] == F.col("start")), F.col("own")).otherwise(f["size"]).alias("size")))
+    key = hash31(F.flatten(F.transform(held, lambda f: F.array(f["offset"], f["size"]))))
+    return dedup_candidates(out.withColumn("layout_hash", F.when(F.col("kind") == "struct", F.coalesce(key, F.lit(0))).otherwise(F.xxhash64("name"))).drop("layout", "own"))
 
 
 def components_by_mode(fields: DataFrame, refs: DataFrame, arrays: DataFrame) -> DataFrame:
