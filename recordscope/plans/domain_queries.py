@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import sources
 from ..operators import candidates, constraints, fields, intervals, layout, tournament
 from . import interpreter
+from .layout_queries import REPEATS_SQL
 from .views import MODE_SQL, accesses, accesses_sql, table
 
 Q: dict = {}
@@ -85,15 +86,31 @@ def size_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.fillna({"size": 0})
 
 
-@query(None)
+HEX = "'0x' || lower(to_hex({}))"
+
+
+@query(f"""{PARTS}, {MODE_SQL}, b AS (SELECT base, "offset", size FROM mode), {REPEATS_SQL},
+own AS (SELECT base, count(DISTINCT "offset") AS n, min("offset") AS first, min(size) AS lo, max(size) AS hi FROM fa GROUP BY base), mark AS (SELECT *, n > 1 AS small FROM own WHERE first = 0 AND (n = 1 OR lo = hi AND hi < 8)),
+mixed AS (SELECT base, "offset" AS o, max(size) AS hi FROM fa GROUP BY 1, 2 HAVING min(size) <> max(size)),
+pm AS (SELECT *, CASE WHEN lag(size) OVER w = size AND "offset" - lag("offset") OVER w = size AND size <> 8 THEN 0 ELSE 1 END AS brk FROM b WINDOW w AS (PARTITION BY base ORDER BY "offset")), pi AS (SELECT *, sum(brk) OVER (PARTITION BY base ORDER BY "offset") AS island FROM pm WHERE size <> 8),
+pr AS (SELECT base, min("offset") AS s, min(size) AS size, count(*) AS n FROM pi GROUP BY base, island), pa AS (SELECT base, s + ((8 - s % 8) % 8) AS start, s + n * size AS "end", n - ((8 - s % 8) % 8) // size AS n FROM pr WHERE ((8 - s % 8) % 8) % size = 0),
+plain AS (SELECT base, string_agg("offset" || ':' || size, ',' ORDER BY "offset") AS layout FROM b GROUP BY base),
+runs AS (SELECT base, start, "end", capacity, unnest(['struct', 'nested_array']) AS kind FROM rc UNION ALL SELECT base, start, "end", 1, unnest(['struct', 'array']) FROM pa WHERE n >= 4),
+made AS (SELECT base, 'range' AS scope, o AS start, o + hi AS "end", 'union_' || {HEX.format("o")} || '_all' AS name, 'union' AS kind, NULL AS layout FROM mixed
+ UNION ALL SELECT DISTINCT m.base, 'range', o, o + hi, 'struct_' || {HEX.format("o")} || '_' || f.size, 'struct', (SELECT string_agg("offset" || ':' || CASE WHEN "offset" = o THEN f.size ELSE size END, ',' ORDER BY "offset") FROM b WHERE b.base = m.base) FROM mixed m JOIN (SELECT DISTINCT base, "offset", size FROM fa) f ON f.base = m.base AND f."offset" = o
+ UNION ALL SELECT runs.base, 'range', start, "end", kind || '_' || {HEX.format("start")} || '_' || capacity, kind, CASE WHEN kind = 'struct' THEN layout END FROM runs JOIN plain ON plain.base = runs.base),
+free AS (SELECT * FROM made WHERE base NOT IN (SELECT base FROM mark)),
+every AS (SELECT base, scope, start, "end", name, kind, layout FROM free UNION ALL SELECT base, 'global', NULL, NULL, unnest([dt, 'plain']), unnest(['primitive', 'struct']), unnest([NULL, '']) FROM mark JOIN mode USING (base) WHERE small AND "offset" = 0
+ UNION ALL SELECT base, 'final', NULL, NULL, 'plain', 'struct', '' FROM own WHERE base NOT IN (SELECT base FROM mark) AND base NOT IN (SELECT base FROM free))
+SELECT base AS c, scope, start::BIGINT AS start, "end"::BIGINT AS "end", name, kind FROM every QUALIFY row_number() OVER (PARTITION BY base, start, "end", coalesce(layout, 'name ' || name) ORDER BY name) = 1""")
 def generated_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All candidates of every part's constraint."""
+    """All candidates of every part's constraint, one for each layout in a range (M1 to M4, M6)."""
     rows = _named(accesses(spark, sf_dir, "l_partkey"))
     profile, modes = fields.size_profile(rows, ("c", "offset")), fields.most_accessed(rows, ("c", "offset"))
     none = profile.where("false").select("c", "offset")
     marks = constraints.mark_primitive(profile, modes, _inferred(spark, sf_dir).where("false"))
     kinds = modes.select("c", "offset", "size", F.concat(F.lit("u"), F.col("size").cast("string")).alias("kind"))
-    return candidates.generate(modes.select("c").distinct(), kinds, profile, rows.select("c", "offset", "size").distinct(), none, marks)
+    return candidates.generate(modes.select("c").distinct(), kinds, profile, rows.select("c", "offset", "size").distinct(), none, marks).drop("layout_hash")
 
 
 CLEAN_SQL = f"""{FA}, h AS (SELECT o_custkey AS k, base, "offset", size FROM fa JOIN orders ON o_orderkey = base),

@@ -154,17 +154,19 @@ def sliding_repeat_primitive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Wide records: four parts make a base of up to 28 fields, so that windows of up to nine fields can repeat three times.
-WIDE = """b AS (SELECT l_partkey // 4 AS base, ((l_partkey % 4) * 7 + l_linenumber - 1) * 2::BIGINT AS "offset", least(max(CASE WHEN l_quantity <= 25 THEN 1 WHEN l_quantity <= 48 THEN 2 ELSE 4 END), 2) AS size FROM lineitem GROUP BY 1, 2),
-l AS (SELECT base, list("offset" ORDER BY "offset") AS o, list(size ORDER BY "offset") AS s FROM b GROUP BY base)"""
-
-
-@query(f"""WITH {WIDE}, c AS (SELECT l.*, cap FROM l, range(2, 15) t(cap) WHERE len(o) >= cap), i AS (SELECT *, unnest(range(0, len(o) - cap + 1)) AS idx FROM c),
-w AS (SELECT base, cap, idx, o[idx + 1] AS o1, list_transform(o[idx + 1:idx + cap], lambda x: x - o[idx + 1]) AS rel, s[idx + 1:idx + cap] AS z FROM i),
-k AS (SELECT *, rel[cap] + z[cap] AS used, list_max(z) AS most FROM w WHERE list_min(z) < list_max(z) AND len(list_filter(range(2, cap + 1), lambda j: rel[j] <> ceil((rel[j - 1] + z[j - 1]) / z[j])::BIGINT * z[j])) = 0),
-g AS (SELECT *, ceil(used / most)::BIGINT * most AS span, idx % cap AS lane FROM k), m AS (SELECT *, CASE WHEN idx - lag(idx) OVER q = cap AND rel = lag(rel) OVER q AND z = lag(z) OVER q AND o1 - lag(o1) OVER q = lag(span) OVER q THEN 0 ELSE 1 END AS brk FROM g WINDOW q AS (PARTITION BY base, cap, lane ORDER BY idx)),
-n AS (SELECT *, sum(brk) OVER (PARTITION BY base, cap, lane ORDER BY idx) AS island FROM m), r AS (SELECT base, cap, min(o1) AS start, min(o1) + count(*) * min(span) AS "end", count(*) AS repeats, any_value(rel) AS rel, any_value(z) AS z FROM n GROUP BY base, cap, lane, island HAVING count(*) >= 3),
-h AS (SELECT *, max("end") OVER (PARTITION BY base, rel, z ORDER BY start, "end" DESC, cap ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM r)
-SELECT base, start::BIGINT AS start, "end"::BIGINT AS "end", repeats::BIGINT AS repeats, cap::INT AS capacity FROM h WHERE reach IS NULL OR "end" > reach""")
+WIDE = """b AS (SELECT l_partkey // 4 AS base, ((l_partkey % 4) * 7 + l_linenumber - 1) * 2::BIGINT AS "offset", least(max(CASE WHEN l_quantity <= 25 THEN 1 WHEN l_quantity <= 48 THEN 2 ELSE 4 END), 2) AS size FROM lineitem GROUP BY 1, 2)"""
+#: Complex repeats of the fields in b (base, offset, size) as rc, by a threshold of 3.
+REPEATS_SQL = """rl AS (SELECT base, list("offset" ORDER BY "offset") AS o, list(size ORDER BY "offset") AS s FROM b GROUP BY base),
+r1 AS (SELECT rl.*, cap FROM rl, range(2, 15) t(cap) WHERE len(o) >= cap), r2 AS (SELECT *, unnest(range(0, len(o) - cap + 1)) AS idx FROM r1),
+r3 AS (SELECT base, cap, idx, o[idx + 1] AS o1, list_transform(o[idx + 1:idx + cap], lambda x: x - o[idx + 1]) AS rel, s[idx + 1:idx + cap] AS z FROM r2),
+r4 AS (SELECT *, rel[cap] + z[cap] AS used, list_max(z) AS most FROM r3 WHERE list_min(z) < list_max(z) AND len(list_filter(range(2, cap + 1), lambda j: rel[j] <> ceil((rel[j - 1] + z[j - 1]) / z[j])::BIGINT * z[j])) = 0),
+r5 AS (SELECT *, ceil(used / most)::BIGINT * most AS span, idx % cap AS lane FROM r4), r6 AS (SELECT *, CASE WHEN idx - lag(idx) OVER q = cap AND rel = lag(rel) OVER q AND z = lag(z) OVER q AND o1 - lag(o1) OVER q = lag(span) OVER q THEN 0 ELSE 1 END AS brk FROM r5 WINDOW q AS (PARTITION BY base, cap, lane ORDER BY idx)),
+r7 AS (SELECT *, sum(brk) OVER (PARTITION BY base, cap, lane ORDER BY idx) AS island FROM r6), r8 AS (SELECT base, cap, min(o1) AS start, min(o1) + count(*) * min(span) AS "end", count(*) AS repeats, any_value(rel) AS rel, any_value(z) AS z FROM r7 GROUP BY base, cap, lane, island HAVING count(*) >= 3),
+r9 AS (SELECT *, max("end") OVER (PARTITION BY base, rel, z ORDER BY start, "end" DESC, cap ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM r8),
+rc AS (SELECT base, start::BIGINT AS start, "end"::BIGINT AS "end", repeats::BIGINT AS repeats, cap::INT AS capacity FROM r9 WHERE reach IS NULL OR "end" > reach)"""
+
+
+@query(f"""WITH {WIDE}, {REPEATS_SQL} SELECT * FROM rc""")
 def sliding_repeat_complex(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeats of records of any width, by the operator's own threshold."""
     band = F.when(F.col("l_quantity") <= 25, 1).when(F.col("l_quantity") <= 48, 2).otherwise(4)
