@@ -243,3 +243,51 @@ def test_neighbourhood_and_degrees(spark):
     assert rows(graph.least_degree(e, table(spark, "node string", ("b",), ("a",))), "node") == [("a",)]
     c = table(spark, "a string, b string", ("s", "t"), ("s", "u"), ("t", "u"))
     assert rows(graph.most_conflicts(c, table(spark, "a string, b string", ("t", "u"))), "node", "n") == [("s", 2), ("t", 1), ("u", 1)]
+
+
+def test_empty_tables_give_empty_results(spark):
+    e, f = table(spark, "src string, dst string"), table(spark, "c string, offset int, size int, dt string")
+    assert graph.simple_paths(e).count() == graph.min_labels(e).count() == graph.strong_components(e).count() == graph.backward_edges(e, graph.simple_paths(e)).count() == 0
+    champions, games = tournament.run_tournaments(table(spark, "grp int, player int, score double"))
+    assert champions.count() == games.count() == 0 and "level" in games.columns
+    assert constraints.populate(f, table(spark, "outer string, inner string, delta int")).count() == 0
+    assert types.describe_variable(table(spark, "dt string, kind string, pointee string, typedef_of string")).count() == 0
+
+
+def test_nests_in_a_cycle_raise(spark):
+    f = table(spark, "c string, offset int, size int, dt string", ("a", 0, 8, "q"), ("b", 0, 8, "q"))
+    with pytest.raises(ValueError):
+        constraints.populate(f, table(spark, "outer string, inner string, delta int", ("a", "b", 8), ("b", "a", 8)))
+
+
+def test_levels_go_up_with_each_round_of_a_bracket(spark):
+    _, games = tournament.run_tournaments(spark.createDataFrame([(1, p, float(p)) for p in range(5)], "grp int, player int, score double"))
+    for bracket in ("w", "l"):
+        levels = [r.level for r in tournament.bracket_order(games).where(f"bracket = '{bracket}'").select("round", "level").distinct().orderBy("round").collect()]
+        assert levels == sorted(set(levels)) and levels[0] == 0 or bracket == "l" and levels == sorted(set(levels))
+
+
+def test_types_of_levels(spark):
+    df = table(spark, "n string, k int", ("S", 0), ("S", 2)).select(types.pointer_to(F.col("n"), F.col("k")).alias("p"), types.array_of(F.col("n"), F.col("k")).alias("a"))
+    assert [(r.p, r.a) for r in df.collect()] == [("S", "S[0]"), ("S **", "S[2]")]
+
+
+def test_a_cluster_without_shared_folder_is_an_error():
+    from types import SimpleNamespace
+
+    from recordscope import storage
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    session = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(_conf=conf, master="spark://host:7077"))
+    with pytest.raises(RuntimeError):
+        storage.shared_root(session)
+
+
+def test_helper_columns_do_not_clash(spark):
+    from recordscope.operators.skew import maybe_member, salted_lookup
+
+    rows_ = spark.range(20).select(F.col("id").alias("k"), F.lit("a").alias("_salt"), F.lit("b").alias("_AT"), F.lit("c").alias("_page"), F.lit("d").alias("_hot"), F.lit("e").alias("_map"))
+    keys = spark.range(0, 20, 2).select(F.col("id").alias("k"))
+    marked = maybe_member(rows_, "k", keys, "hit")
+    assert marked.where("hit AND _at = 'b' AND _map = 'e'").count() == 10
+    assert salted_lookup(rows_, keys.withColumn("v", F.lit(1)), "k", keys.limit(1), F.col("k")).where("_salt = 'a' AND _hot = 'd'").count() == 10

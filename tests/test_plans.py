@@ -64,10 +64,74 @@ def test_dot_and_timings(spark, tmp_path):
     assert sources.elf_files(spark, str(tmp_path / "bin")).count() == 1
 
 
-SLOW = {"conflict_free_components", "generated_candidates", "interpreted_fields", "tournament_champion"}
-
-
-@pytest.mark.parametrize("name", [n for n in catalogue.queries() if n not in SLOW and n in catalogue.oracle_sql()])
+def one(opcode, out, *ins, seeds=("p", "q")):
+    """What a function learns from one operation on variables that hold symbols: facts of the output, edges, accesses, other rows."""
+    f = interpreter.Function("f")
+    named = {s: dict(zip(NODE, node(s, sym=s))) for s in seeds}
+    given = [named.get(x, dict(zip(NODE, x if isinstance(x, tuple) else node(x)))) for x in ins]
+    to = None if out is None else dict(zip(NODE, out if isinstance(out, tuple) else node(out)))
+    f.run([{"ord": 1, "op": "o", "opcode": opcode, "out": to, "ins": given}])
+    rows = [r[1:] for r in f.learnt]
+    return [str(e) for e in f.facts.get(to["vn"], [])] if to else [], sorted((a, b) for w, a, b, *_ in rows if w == "edge"), [r for r in rows if r[0] != "edge"]
+
+
+NODE = ("vn", "size", "sym", "dt", "value", "space")
+
+
+def const(value, size=8):
+    return node(f"#{value}", size, value=value, space="const")
+
+
+def test_every_opcode():
+    assert one("INT_ADD", "o", "p", const(8))[0] == ["(p + 0x8)"] and one("INT_ADD", "o", "p", "q")[0] == ["(p + q * 0x1)"]
+    assert one("INT_SUB", "o", "p", const(0xFFFFFFFFFFFFFFF8))[0] == ["(p + 0x8)"] and one("INT_SUB", "o", "p", const(8))[0] == []
+    assert one("INT_ADD", "o", "p", const(0x2000))[0] == ["(p + 0x2000)"] and one("INT_ADD", "o", "p", const(0x2001))[0] == [] and one("INT_ADD", "o", "x", const(8))[0] == []
+    for opcode in ("COPY", "CAST", "SUBPIECE"):
+        assert one(opcode, node("o", sym="r"), "p", *([const(0)] if opcode == "SUBPIECE" else []))[:2] == (["r", "p"], [("p", "r")])
+        assert one(opcode, "q", "x", seeds=("q",))[0] == []
+    assert one("COPY", node("q", sym="q"), "x", seeds=())[2] == []
+    assert one("PTRADD", "o", "p", const(3), const(16))[0] == ["(p + 0x30)"] and one("PTRADD", "o", "p", "q", const(16))[0] == ["(p + q * 0x10)"] and one("PTRADD", "o", "p", const(3), "q")[0] == []
+    assert one("PTRSUB", "o", node("RSP"), node("#", sym="s", space="const"))[0] == ["&s"] and one("PTRSUB", "o", const(0), node("#", sym="g", space="const"))[0] == ["&g"]
+    assert one("PTRSUB", "o", "p", const(24))[0] == ["(p + 0x18)"]
+    assert one("MULTIEQUAL", "o", "p", "q")[0] == ["p", "q"] and one("MULTIEQUAL", node("o", sym="r"), "p", "q")[0] == ["r"]
+    assert one("INT_ZEXT", "o", "p")[0] == one("INT_SEXT", "o", "p")[0] == ["p"]
+    assert one("INT_MULT", "o", "p", const(4))[0] == ["(p * 0x4)"] == one("INT_MULT", "o", const(4), "p")[0]
+    facts, edges, rows = one("LOAD", node("o", 4, "r", "int"), node("ram", space="const"), "p")
+    assert facts == ["r", "*p"] and edges == [("*p", "r")] and ("access", "*p", None, "o", "LOAD", "int", 4, None) in rows
+    _, edges, rows = one("STORE", None, node("ram", space="const"), "p", node("q", 2, "q", "short"), seeds=("p",))
+    assert edges == [("q", "*p")] and ("access", "*p", None, "o", "STORE", "short", 2, None) in rows
+    rows = one("CALL", node("o", sym="r"), const(64), "p", const(5))[2]
+    assert {r[0]: r[1] for r in rows} == {"arg": "p", "attr": "p", "const_arg": "0x5", "receiver": "r"}
+    assert one("CALLIND", None, "p")[2] == [("attr", "p", None, None, "CODE_PTR", None, None, None)]
+    assert {r[0] for r in one("RETURN", None, "p")[2]} == {"return", "attr"} and one("CBRANCH", None, "p") == ([], [], [])
+
+
+def test_documents_of_candidates(spark, tmp_path):
+    rows = lambda schema, *data: spark.createDataFrame(list(data), schema)
+    members = rows("c string, offset long, size int, type string, name string, kind string", ("k", 16, 24, "Anon_1[3]", "array_field_0x10", "array"), ("k", 0, 8, "void *", "ref_0x0_t", "pointer"), ("k", 8, 4, "U", "field_0x8", "union"))
+    anon = rows("c string, name string, doc string", ("k", "Anon_1", '{"0x0":{"desc":"Primitive"}}'), ("k", 'odd"name', "[]"))
+    docs = sources.full_documents(members, rows("c string, offset long, target string, ptr_level int", ("k", 0, "t", 2)), rows("c string, offset long, target string", ("k", 16, "Anon_1")), anon, rows("c string, dt string, kind string", ("k", "sockaddr", "struct"), ("k", "a[4]", "array")))
+    body = json.loads(docs.first().doc)
+    assert list(body["layout"]) == ["0x0", "0x8", "0x10"] and body["layout"]["0x10"]["desc"] == "Array" and body["ptrRef"] == {"0x0": {"refSkt": "t", "ptrLevel": 2}}
+    assert body["nest"] == {"0x10": "Anon_1"} and body["anonTypes"] == {"Anon_1": {"0x0": {"desc": "Primitive"}}, 'odd"name': []} and body["decompilerInferred"] == {"composite": ["sockaddr"], "array": ["a[4]"], "primitive": []}
+    kinds = rows("c string, start long, end long, name string, doc string", ("k", 8, 16, "B", "{}"), ("k", 8, 16, "A", "{}"), ("k", 0, 4, "A", '{"x":1}'))
+    assert json.loads(sources.range_documents(kinds).first().doc) == {"rangeMorph": [{"startOffset": "0x0", "endOffset": "0x4", "types": {"A": {"x": 1}}}, {"startOffset": "0x8", "endOffset": "0x10", "types": {"A": {}, "B": {}}}]}
+    assert json.loads(sources.global_documents(kinds.where("start = 0")).first().doc) == {"globalMorph": {"A": {"x": 1}}}
+    assert json.loads(sources.inferred_documents(rows("c string, dt string, kind string", ("k", "sockaddr", "struct"))).first().doc) == {"desc": "DecompilerInferred", "decompilerInferred": {"composite": ["sockaddr"], "array": [], "primitive": []}}
+    library = sources.type_library(rows("program string, section string, name string, doc string", ("p", "UD_Struct", "S", '{"desc":"Structure"}')))
+    assert json.loads(library.first().doc) == {"Lib_Struct": {}, "Lib_Union": {}, "UD_Struct": {"S": {"desc": "Structure"}}, "UD_Union": {}}
+    sources.write_documents(sources.final_documents(kinds.where("start = 0")), str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out")).where("kind = '_final'").count() == 1
+    for name in ("a/x_TypeConstraint_1.json", "a/x_varType.json", "b/x_varType.json"):
+        (tmp_path / "runs" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "runs" / name).write_text("{}")
+    assert [r.folder.rsplit("/", 1)[1] for r in sources.typed_folders(spark, str(tmp_path / "runs")).collect()] == ["a"]
+    (tmp_path / "config.yml").write_text("projects:\n  - a\n  - b\n")
+    pytest.importorskip("yaml")
+    assert sources.read_config(str(tmp_path / "config.yml")) == {"projects": ["a", "b"]}
+
+
+@pytest.mark.parametrize("name", [n for n in catalogue.queries() if n in catalogue.oracle_sql()])
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "conversations"):
