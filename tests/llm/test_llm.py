@@ -601,3 +601,60 @@ def test_warc_damage_is_an_error():
     with pytest.raises(ValueError):
         list(warc.members([warc._gzip(records[0][:-9] + records[1])]))
     assert list(warc.members([])) == []
+
+
+#: Names that operators give to passing columns, and that results have.
+CLASHING = ("id", "digest", "bands", "blob", "content", "found", "seat", "dealt", "bin", "score", "slot", "shard", "media", "host", "path", "payload", "_sub", "_salt", "_Hot", "_at", "_page", "vec", "n", "rank", "label")
+
+
+@pytest.fixture(scope="module")
+def awkward(spark):
+    """Null ids, repeated rows, ids of several texts, a text of a million characters, and columns with clashing names."""
+    texts = [(1, "one text of its own here"), (1, "another text of the same id"), (2, None), (2, None), (None, "no id"), (None, "no id"), (3, ""), (4, "long " * 200_000 + "token: abcdefgh12"), (4, "long " * 200_000 + "token: abcdefgh12")]
+    df = spark.createDataFrame(texts, "doc_id long, text string").withColumns({c: F.lit("x") for c in CLASHING})
+    return df.repartition(2), texts
+
+
+def test_text_operators_take_awkward_rows(spark, awkward):
+    df, texts = awkward
+    path, size = P.path("byte_bpe_50k.tiktoken"), len(texts)
+    model = quality.Model(np.zeros(quality.BUCKETS + quality.BIGRAMS), 0.0)
+    scored = quality.score(df, model)
+    assert scored.count() == size and scored.columns.count("score") == 1 and scored.where("score = 0.5").count() == size
+    links = near_duplicates.jaccard_links(df).collect()
+    assert sorted((r.doc_id or 0, r.n_copies) for r in links) == [(0, 2), (0, 2), (1, 1), (1, 1), (2, 3), (2, 3), (3, 3), (4, 2), (4, 2)]
+    out = media.probe_media(media.mux_texts(df)).collect()
+    assert Counter(r.payload_sha256 for r in out) == Counter(hashlib.sha256(media.padded((t or "").encode())).hexdigest() for _, t in texts)
+    pieces = packing.pack_documents(df).toPandas()
+    assert pieces.fillna(0).groupby("doc_id").piece.apply(lambda x: (x == 0).sum()).to_dict() == {0: 2, 1: 2, 2: 2, 3: 1, 4: 2}
+    assert pieces.groupby("sequence_id").length.sum().max() <= 1024
+    found = secrets.find_secrets(df, keep=["slot"]).withColumn("line", secrets._line(F.col("found"))).collect()
+    assert len(found) == size and {r.line for r in found if r.doc_id == 4} == {"assign:1000000:1000017"}
+    trip = bpe.round_trip(df, path, P.PATTERN).collect()
+    assert Counter(r.decoded_sha256 for r in trip) == Counter(hashlib.sha256((t or "").encode()).hexdigest() for _, t in texts)
+    placed = sharding.shard_records(df, "doc_id", [1.0] * 3, [1.0] * 4)
+    assert placed.count() == size and set(CLASHING) - {"shard", "slot"} <= set(placed.columns) and placed.where("_sub = 'x' AND _salt = 'x'").count() == size
+
+
+def test_page_operators_take_awkward_rows(spark):
+    body = "<body><article>" + "<p>A paragraph that is part of the text.</p>" * 20_000 + "</article></body>"
+    rows = [(1, "http://a.b/", body), (1, "http://a.b/", body), (1, "http://a.b/", "<p>other"), (None, None, body), (2, "u", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit("x") for c in (*CLASHING, "refers_to", "archive", "pages", "kept")})
+    out = html_text.extract_texts(df).collect()
+    want = "\n".join(["A paragraph that is part of the text."] * 20_000)
+    assert Counter((r.page_id, r.text) for r in out) == Counter([(1, want), (1, want), (1, "other"), (None, want), (2, "")])
+
+
+def test_archives_take_awkward_rows(spark, tmp_path):
+    big = "x" * 9_000_000
+    rows = [(1, "u", big), (1, "u", big), (1, "v", "y" * 200), (None, None, big), (2, "u", None), (3, "u", "y" * 200)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit("x") for c in (*CLASHING, "refers_to", "archive")})
+    source, folder = f"file://{tmp_path}/a", f"file://{tmp_path}/b"
+    out = warc.read_records(warc.normalise(warc.write_archives(warc.with_targets(df), source), source, folder), folder).collect()
+    assert Counter((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in out) == Counter([(1, 9_000_000, "response", None)] * 2 + [(1, 200, "response", None), (None, 9_000_000, "revisit", 1), (2, 0, "response", None), (3, 200, "revisit", 1)])
+
+
+def test_vectors_take_clashing_columns(spark):
+    df = spark.createDataFrame([(k, [float(k), 1.0]) for k in range(5)] * 2, "vec_id long, embedding array<float>").withColumns({c: F.lit("x") for c in (*CLASHING, "query_id")})
+    out = ann.nearest(df, df.where("vec_id = 0"), 3).orderBy("rank").collect()
+    assert [(r["rank"], r.vec_id, r.score) for r in out] == [(1, 1, 1.0), (2, 2, 1.0), (3, 3, 1.0)]

@@ -66,11 +66,24 @@ def test_stages_take_empty_tables_and_null_ids(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     for rows in ([], [(None, None, None, None, None), (None, "a b c d e f", None, None, 1)]):
         docs = spark.createDataFrame(rows, SCHEMA)
-        for _, stage in corpus_pipeline.STAGES[:3]:
+        for _, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, str(tmp_path))
             assert docs.count() == len(rows)
 
 
+def test_stages_take_repeated_rows_long_texts_and_clashing_columns(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    rows = [(1, "long " * 100_000, "en", "s", 1)] * 2 + [(None, "without an id", "en", "s", 1)] * 3 + [(2, "a text", "en", "s", 1), (2, "an other", None, None, None)]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit("x") for c in ("digest", "score", "_rn", "doubtful", "found", "seat", "leads")})
+    kept = corpus_pipeline.drop_low_quality(spark, docs, str(tmp_path))
+    assert kept.columns == list(corpus_pipeline.COLUMNS) and kept.count() == 7
+    single = corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path))
+    assert single.columns == list(corpus_pipeline.COLUMNS) and sorted((r.doc_id or 0, r.text[:4]) for r in single.collect()) == [(0, "with"), (1, "long"), (2, "a te"), (2, "an o")]
+    assert corpus_pipeline.redact_secrets(spark, docs, str(tmp_path)).count() == 7
+    packed = corpus_pipeline.pack_sequences(spark, docs, str(tmp_path))
+    assert packed.where("piece = 0").count() == 7 and packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 1024").isEmpty()
+
+
 def test_unlike_texts_of_one_id_stay(spark, tmp_path):
     body = " ".join(f"w{k}" for k in range(60))
     rows = [(7, body, "en", "s", 1), (7, "quite another text", "en", "s", 1), (7, "quite another text", "en", "s", 1), (8, f"{body} end", "en", "s", 1), (9, "alone", "en", "s", 1)]
