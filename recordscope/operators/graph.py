@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import materialize, release, replace, union_all
+from ..storage import materialize, release, replace, replace_counting, union_all
 
 
 def dedup_edges(edges: DataFrame, src: str = "src", dst: str = "dst", first_by: str = "ord", kind: str = "edge_type") -> DataFrame:
@@ -27,24 +27,23 @@ def both_ways(edges: DataFrame, src: str, dst: str) -> DataFrame:
 def min_labels(edges: DataFrame, src: str = "src", dst: str = "dst", nodes: DataFrame | None = None, node: str = "node") -> DataFrame:
     """(node, label): the smallest node of each weakly connected component.
 
-    Each round, a node takes the smallest label among its neighbours', then
-    the label of that label: labels halve their distance to the smallest. nodes
-    adds isolated ones. Rounds go on until nothing changes.
+    Each round, a node takes the smallest of its own label, its neighbours'
+    labels, and the label that its label has: labels halve their distance to the
+    smallest. nodes adds isolated ones. Rounds go on until nothing changes; a
+    round is one written table, which counts its changes as it is written.
     """
     near = materialize(both_ways(edges, src, dst), "edges")
     known = near.select(F.col("u").alias("node")).distinct()
     if nodes is not None:
         known = known.unionByName(nodes.select(F.col(node).alias("node"))).where("node IS NOT NULL").distinct()
-    labels = materialize(known.select("node", F.col("node").alias("label")), "labels")
-    while True:
+    labels, changed = materialize(known.select("node", F.col("node").alias("label")), "labels"), 1
+    while changed:
         around = near.join(labels.select(F.col("node").alias("u"), "label"), "u").groupBy(F.col("v").alias("node")).agg(F.min("label").alias("near"))
-        lower = labels.join(around, "node", "left").select("node", "label", F.least("label", F.coalesce("near", "label")).alias("new"))
-        lower = replace(labels, lower, "labels")
-        if lower.where("new <> label").isEmpty():
-            release(near)
-            return lower.select("node", "label")
-        hop = lower.select(F.col("node").alias("new"), F.col("new").alias("hop")).where("new <> hop")
-        labels = replace(lower, lower.select("node", "new").join(hop, "new", "left").select("node", F.least("new", F.coalesce("hop", "new")).alias("label")), "labels")
+        hop = labels.where("node <> label").select(F.col("node").alias("label"), F.col("label").alias("hop"))
+        lower = labels.join(around, "node", "left").join(hop, "label", "left").select("node", F.least("label", "near", "hop").alias("label"), F.col("label").alias("was"))
+        labels, changed = replace_counting(labels, lower, "labels", F.col("label") < F.col("was"))
+    release(near)
+    return labels.select("node", "label")
 
 
 #: Rounds of a search that are kept as tables of their own.

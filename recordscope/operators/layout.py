@@ -4,8 +4,9 @@ Components whose union of fields has no conflict are clean: nothing can go
 wrong on any path, so they skip the sequential work. The others are walked in
 one group each, in the order of their keys: fields are merged along paths,
 across the paths of a source, and breadth-first from the sources; edges at
-which a merge would conflict are evil and are removed. The graph is then split
-anew, for a bounded number of rounds.
+which a merge would conflict are evil and are removed. What is left of the
+component is split, and parts that still hold a conflict between two of their
+nodes are walked again in the same task, so the graph is labelled only once.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..storage import materialize
 from .graph import min_labels, without_edges
-from .intervals import conflicted, cross_conflicted
+from .intervals import cross_conflicted
 
 Fields = frozenset[tuple[int, int]]
 
@@ -159,6 +160,72 @@ def cut_against_direction(edges: dict, nodes: list, fields: dict) -> set[tuple]:
     return evil
 
 
+def crossing(nodes: Iterable, fields: dict) -> bool:
+    """Whether intervals of two different nodes conflict: in order of start, the two furthest ends of different nodes decide."""
+    spans = sorted((o, o + n, k) for k in nodes for o, n in fields.get(k, ()))
+    first, second = (-1, None), (-1, None)
+    waiting: list[tuple[int, int, object]] = []
+    for start, end, node in spans:
+        if waiting and waiting[0][0] < start:
+            for _, e, k in waiting:
+                if k == first[1]:
+                    first = max(first, (e, k), key=lambda x: x[0])
+                elif e > first[0]:
+                    first, second = (e, k), first
+                elif e > second[0]:
+                    second = (e, k)
+            waiting = []
+        if (second if first[1] == node else first)[0] > start:
+            return True
+        waiting.append((start, end, node))
+    return False
+
+
+def weak_parts(nodes: Iterable, edges: dict) -> list[list]:
+    """The nodes of each weakly connected part, in order."""
+    near: dict = {n: [] for n in nodes}
+    for a, outs in edges.items():
+        for b in outs:
+            near[a].append(b)
+            near[b].append(a)
+    seen, parts = set(), []
+    for start in sorted(near):
+        if start in seen:
+            continue
+        part, todo = [], [start]
+        seen.add(start)
+        while todo:
+            n = todo.pop()
+            part.append(n)
+            new = [m for m in near[n] if m not in seen]
+            seen.update(new)
+            todo += set(new)
+        parts.append(sorted(part))
+    return parts
+
+
+def settle(edges: dict, fields: dict) -> tuple[set[tuple], dict]:
+    """(evil edges, label of each node): cut and split until no part holds a conflict between its nodes."""
+    nodes = {*edges, *(b for outs in edges.values() for b in outs), *fields}
+    evil: set[tuple] = set()
+    labels: dict = {}
+    todo = weak_parts(nodes, edges)
+    while todo:
+        part = todo.pop()
+        if not crossing(part, fields):
+            labels.update(dict.fromkeys(part, part[0]))
+            continue
+        inside = {a: edges[a] for a in part if edges.get(a)}
+        cut = evil_edges(inside, fields) & {(a, b) for a, outs in inside.items() for b in outs}
+        if not cut:
+            raise ValueError(f"the conflict in the component of {part[0]} can't be cut")
+        evil |= cut
+        for a, b in cut:
+            edges[a] = edges[a] - {b}
+        todo += weak_parts(part, {a: edges[a] for a in part if edges.get(a)})
+    return evil, labels
+
+
 def _group(table: pa.Table) -> pa.Table:
     edges: dict = {}
     fields: dict = {}
@@ -167,31 +234,25 @@ def _group(table: pa.Table) -> pa.Table:
             edges.setdefault(r["src"], set()).add(r["dst"])
         else:
             fields[r["src"]] = frozenset((x["offset"], x["size"]) for x in r["fields"])
-    found = sorted(evil_edges(edges, fields))
-    return pa.table({"src": pa.array([a for a, _ in found], pa.string()), "dst": pa.array([b for _, b in found], pa.string())})
+    evil, labels = settle(edges, fields)
+    rows = [("evil", a, b) for a, b in sorted(evil)] + [("label", a, b) for a, b in sorted(labels.items())]
+    return pa.table({name: pa.array([r[k] for r in rows], pa.string()) for k, name in enumerate(("what", "a", "b"))})
 
 
-def remove_conflicts(edges: DataFrame, fields: DataFrame, rounds: int = 8) -> tuple[DataFrame, DataFrame]:
+def remove_conflicts(edges: DataFrame, fields: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(edges, labels): edges without evil ones, and (node, label) components of what is left.
 
-    edges: (src, dst) strings; fields: (base, offset, size). Raises if conflicts remain after all rounds.
+    edges: (src, dst) strings; fields: (base, offset, size). Raises if a conflict can't be cut.
     """
     edges = materialize(edges.select("src", "dst").distinct(), "tfg")
-    nodes = fields.select(F.col("base").alias("node")).distinct()
-    for _ in range(rounds):
-        labels = materialize(min_labels(edges, nodes=nodes), "components")
-        held = fields.join(labels.select(F.col("node").alias("base"), F.col("label").alias("component")), "base")
-        dirty = materialize(conflicted(held, ["component"]), "dirty")
-        inside = edges.join(labels.select(F.col("node").alias("src"), F.col("label").alias("component")), "src").join(dirty, "component", "left_semi")
-        own = held.join(dirty, "component", "left_semi").groupBy("component", "base").agg(F.collect_set(F.struct(F.col("offset").cast("long").alias("offset"), F.col("size").cast("long").alias("size"))).alias("fields"))
-        kind = "array<struct<offset:bigint,size:bigint>>"
-        rows = inside.select("component", "src", "dst", F.lit(None).cast(kind).alias("fields")).unionByName(own.select("component", F.col("base").alias("src"), F.lit(None).cast("string").alias("dst"), F.col("fields").cast(kind)))
-        evil = materialize(rows.groupBy("component").applyInArrow(_group, "src string, dst string"), "evil")
-        if evil.isEmpty():
-            return edges, labels
-        edges = materialize(without_edges(edges, evil), "tfg")
-    labels = materialize(min_labels(edges, nodes=nodes), "components")
+    labels = materialize(min_labels(edges, nodes=fields.select(F.col("base").alias("node")).distinct()), "components")
     held = fields.join(labels.select(F.col("node").alias("base"), F.col("label").alias("component")), "base")
-    if not cross_conflicted(held, "component", "base").isEmpty():
-        raise ValueError(f"conflicts are left after {rounds} rounds")
-    return edges, labels
+    dirty = materialize(cross_conflicted(held, "component", "base"), "dirty")
+    inside = edges.join(labels.select(F.col("node").alias("src"), F.col("label").alias("component")), "src").join(dirty, "component", "left_semi")
+    own = held.join(dirty, "component", "left_semi").groupBy("component", "base").agg(F.collect_set(F.struct(F.col("offset").cast("long").alias("offset"), F.col("size").cast("long").alias("size"))).alias("fields"))
+    kind = "array<struct<offset:bigint,size:bigint>>"
+    rows = inside.select("component", "src", "dst", F.lit(None).cast(kind).alias("fields")).unionByName(own.select("component", F.col("base").alias("src"), F.lit(None).cast("string").alias("dst"), F.col("fields").cast(kind)))
+    settled = materialize(rows.groupBy("component").applyInArrow(_group, "what string, a string, b string"), "settled")
+    evil = settled.where("what = 'evil'").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    clean = labels.join(dirty.withColumnRenamed("component", "label"), "label", "left_anti").select("node", "label")
+    return materialize(without_edges(edges, evil), "tfg"), materialize(clean.unionByName(settled.where("what = 'label'").select(F.col("a").alias("node"), F.col("b").alias("label"))), "components")

@@ -14,7 +14,8 @@ import tempfile
 import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _FOLDERS: dict[str, object] = {}
 
@@ -59,6 +60,13 @@ def replace(old: DataFrame, new: DataFrame, name: str) -> DataFrame:
     return found
 
 
+def replace_counting(old: DataFrame, new: DataFrame, name: str, condition: Column) -> tuple[DataFrame, int]:
+    """replace(), and the number of rows that meet a condition, counted as they are written."""
+    seen = Observation()
+    found = replace(old, new.observe(seen, F.count(F.when(condition, 1)).alias("n")), name)
+    return found, seen.get["n"]
+
+
 def release(*tables: DataFrame) -> None:
     """Delete tables of materialize() that nothing reads any more."""
     for t in tables:

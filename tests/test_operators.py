@@ -164,6 +164,22 @@ def test_chains_are_walked_whole_and_too_many_paths_raise():
         layout.paths_of(ladder, sorted(ladder))
 
 
+def test_settled_parts_equal_brute_force():
+    rng = random.Random(11)
+    for _ in range(300):
+        n = rng.randrange(2, 9)
+        edges = {}
+        for _ in range(rng.randrange(1, 12)):
+            edges.setdefault(f"n{rng.randrange(n)}", set()).add(f"n{rng.randrange(n)}")
+        own = {f"n{k}": frozenset((rng.randrange(0, 24, 4), rng.choice([4, 8, 16])) for _ in range(2)) for k in range(n)}
+        pairs = [(a, b) for a, b in itertools.combinations(own, 2) if any(clash(x, y) for x in own[a] for y in own[b])]
+        assert layout.crossing(own, own) == bool(pairs)
+        evil, labels = layout.settle({a: set(b) for a, b in edges.items()}, own)
+        assert set(labels) == set(own) and all(labels[a] != labels[b] for a, b in pairs)
+        kept = {(a, b) for a, outs in edges.items() for b in outs} - evil
+        assert all(labels[a] == labels[b] for a, b in kept) and all(labels[v] <= k for k, v in labels.items())
+
+
 def test_no_component_keeps_a_conflict_between_nodes(spark):
     rng = random.Random(5)
     e = [(f"n{rng.randrange(30)}", f"n{rng.randrange(30)}") for _ in range(40)]
