@@ -49,6 +49,8 @@ BIN_BITS, HOME_BITS = 20, 38
 #: Dual-feasible functions of each family.
 DFF_STEPS = 64
 
+#: Words that a worker remembers.
+WORDS_KEPT = 400_000
 #: Words that are given to the library as one string.
 JOINED = 500
 
@@ -101,7 +103,7 @@ def library_encoder(path: str, end_id: int) -> Encode:
             out[k] = library.encode_to_numpy(texts[k], disallowed_special=()).tobytes()
         return out
 
-    memo = Memo(make, 1_500_000)
+    memo = Memo(make, WORDS_KEPT)
     end = array("I", [end_id]).tobytes()
     return lambda texts: [x + end for x in memo.encode(texts)]
 

@@ -47,7 +47,7 @@ SHORTEST, LONGEST = 3, 4
 #: predicted is 1 from this score on.
 THRESHOLD = 0.3
 #: Words that a worker remembers.
-WORDS_KEPT = 800_000
+WORDS_KEPT = 200_000
 
 
 def features(word: str) -> list[int]:
