@@ -69,9 +69,10 @@ def symbol_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT DISTINCT l_suppkey AS func, l_orderkey || ':' || l_linenumber AS op FROM lineitem WHERE (l_suppkey, l_partkey) IN (SELECT p_partkey % 100 + 1, p_partkey FROM part) OR (l_suppkey, -l_orderkey) IN (SELECT s_suppkey, -s_nationkey FROM supplier)""")
 def traced_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Operations with an input that holds a fact."""
-    ops = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("func"), F.concat_ws(":", "l_orderkey", "l_linenumber").alias("op"), F.array(F.col("l_partkey"), -F.col("l_orderkey")).alias("input_vns"))
-    facts = table(spark, sf_dir, "part").select((F.col("p_partkey") % 100 + 1).alias("func"), F.col("p_partkey").alias("vn")).unionByName(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("func"), (-F.col("s_nationkey")).cast("long").alias("vn")))
+    """Operations with an input that holds a fact (P8); a part's node and an order's are never the same, whatever their numbers."""
+    op = F.concat(F.col("l_orderkey").cast("string"), F.lit(":"), F.col("l_linenumber").cast("string"))
+    ops = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("func"), op.alias("op"), F.array(key("p", "l_partkey"), key("o", "l_orderkey")).alias("input_vns"))
+    facts = table(spark, sf_dir, "part").select((F.col("p_partkey") % 100 + 1).alias("func"), key("p", "p_partkey").alias("vn")).unionByName(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("func"), key("o", "s_nationkey").alias("vn")))
     return symbols.traced_ops(ops, facts)
 
 

@@ -144,3 +144,28 @@ def test_query_equals_sql(spark, name):
     got = sorted(repr(tuple(plain(r[c]) for c in columns)) for r in df.collect())
     want = sorted(repr(tuple(plain(v) for v in r)) for r in rel.select(*[f'"{c}"' for c in columns]).fetchall())
     assert got == want
+
+
+def tables(spark, folder, **rows):
+    """Small tables in a folder, as a query reads them; a view of DuckDB for each."""
+    con = duckdb.connect()
+    for name, (schema, data) in rows.items():
+        spark.createDataFrame(data, schema).coalesce(1).write.parquet(f"{folder}/{name}.parquet")
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet/*.parquet'")
+    return con
+
+
+def same_as_sql(spark, folder, con, name):
+    df = catalogue.queries()[name](spark, str(folder))
+    columns = ", ".join(f'"{c}"' for c in df.columns)
+    got, want = map(repr, sorted(map(tuple, df.collect()), key=repr)), map(repr, sorted(con.sql(f"SELECT {columns} FROM ({catalogue.oracle_sql()[name]})").fetchall(), key=repr))
+    assert list(got) == list(want)
+
+
+def test_traced_operations_keep_parts_and_orders_apart(spark, tmp_path):
+    lines = [(43354, 0, 611, 4), (0, 7, 1, 1), (5, 300, 611, 1), (9, 0, 1, 2), (3, 12, 5, 1), (None, 0, 1, 3)]
+    con = tables(
+        spark, tmp_path, lineitem=("l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int", lines),
+        part=("p_partkey long", [(0,), (300,)]), supplier=("s_suppkey long, s_nationkey int", [(611, 0), (1, 4), (5, 3), (None, 0)]),
+    )
+    same_as_sql(spark, tmp_path, con, "traced_operations")
