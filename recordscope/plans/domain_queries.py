@@ -215,21 +215,22 @@ def windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT 'p' AS base, ((n - 1) * 8)::BIGINT AS "offset", v AS field_expr, 'f' || o || ':' || n || ':1' AS op, 'LOAD' AS access_type, 'qword' AS dt, 8 AS size, 0::BIGINT AS scale FROM l UNION ALL SELECT v, 0, '*' || v, 'f' || o || ':' || n || ':2', 'STORE', 'dword', 4, 0 FROM l""")
 def interpreted_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each order as a function that loads its lines' fields: p + 4 * line, then a store through the loaded pointer."""
-    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity").distinct()
-    n = F.col("l_linenumber").cast("string")
+    line = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("f"), F.col("l_orderkey").cast("string")).alias("func"), "l_linenumber")
     kind = "struct<vn:string,size:int,sym:string,dt:string,value:long,space:string>"
 
     def node(vn, size=8, sym=None, dt=None, value=0, space="register"):
         return F.struct(vn.alias("vn"), F.lit(size).alias("size"), F.lit(sym).cast("string").alias("sym"), F.lit(dt).cast("string").alias("dt"), (value if not isinstance(value, int) else F.lit(value)).cast("long").alias("value"), F.lit(space).alias("space")).cast(kind)
 
-    base, at, loaded = node(F.lit("p"), sym="p"), node(F.concat(F.lit("a"), n)), node(F.concat(F.lit("v"), n), dt="qword")
-    offset = node(F.concat(F.lit("c"), n), value=(F.col("l_linenumber") - 1) * 8, space="const")
-    ops = F.array(
-        F.struct(F.lit(0).alias("k"), F.lit("INT_ADD").alias("opcode"), at.alias("out"), F.array(base, offset).alias("ins")),
-        F.struct(F.lit(1).alias("k"), F.lit("LOAD").alias("opcode"), loaded.alias("out"), F.array(at).alias("ins")),
-        F.struct(F.lit(2).alias("k"), F.lit("STORE").alias("opcode"), F.lit(None).cast(kind).alias("out"), F.array(loaded, node(F.lit("one"), 4, dt="dword", value=1, space="const")).alias("ins")),
-    )
-    rows = line.groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity")).select(F.concat(F.lit("f"), F.col("l_orderkey").cast("string")).alias("func"), "l_linenumber", F.explode(ops).alias("x"))
-    table_ = rows.select("func", (F.col("l_linenumber") * 3 + F.col("x.k")).cast("long").alias("ord"), F.concat_ws(":", F.col("func"), F.col("l_linenumber").cast("string"), F.col("x.k").cast("string")).alias("op"), "x.opcode", "x.out", "x.ins")
-    learnt, exprs = interpreter.interpret(table_)
-    return interpreter.field_accesses(learnt, exprs)
+    def operations(line):
+        n = line.cast("string")
+        base, at, loaded = node(F.lit("p"), sym="p"), node(F.concat(F.lit("a"), n)), node(F.concat(F.lit("v"), n), dt="qword")
+        offset = node(F.concat(F.lit("c"), n), value=(line - 1) * 8, space="const")
+        one = node(F.lit("one"), 4, dt="dword", value=1, space="const")
+        made = (("INT_ADD", at, [base, offset]), ("LOAD", loaded, [at]), ("STORE", F.lit(None).cast(kind), [loaded, one]))
+        return F.array(*[
+            F.struct((line * 3 + k).cast("long").alias("ord"), F.concat("func", F.lit(":"), n, F.lit(f":{k}")).alias("op"), F.lit(opcode).alias("opcode"), out.alias("out"), F.array(*ins).alias("ins"))
+            for k, (opcode, out, ins) in enumerate(made)
+        ])
+
+    functions = line.groupBy("func").agg(F.flatten(F.transform(F.collect_set("l_linenumber"), operations)).alias("ops"))
+    return interpreter.field_accesses(interpreter.learn(functions, exprs=False))

@@ -169,3 +169,77 @@ def test_traced_operations_keep_parts_and_orders_apart(spark, tmp_path):
         part=("p_partkey long", [(0,), (300,)]), supplier=("s_suppkey long, s_nationkey int", [(611, 0), (1, 4), (5, 3), (None, 0)]),
     )
     same_as_sql(spark, tmp_path, con, "traced_operations")
+
+
+def test_equal_bodies_are_interpreted_once(monkeypatch):
+    import pyarrow as pa
+
+    ops = [dict(zip(("opcode", "out", "ins"), ("LOAD", dict(zip(NODE, node("v", dt=dt))), [dict(zip(NODE, node("p", sym="p")))]))) for dt in ("qword", "int")]
+    bodies = [json.dumps({"skip": [], "ops": [o]}) for o in ops]
+    batch = pa.RecordBatch.from_arrays([pa.array([f"f{k}" for k in range(1000)]), pa.array([bodies[k % 3 == 0] for k in range(1000)]), pa.array([[f"o{k}"] for k in range(1000)])], ["func", "body", "names"])
+    read, rows = [], interpreter._rows
+    monkeypatch.setattr(interpreter, "_rows", lambda body, *a: read.append(body) or rows(body, *a))
+    kept = {}
+    found = [r for part in (batch.slice(0, 600), batch.slice(600)) for r in interpreter._taught(part, kept, False).to_pylist()]
+    assert sorted(read) == sorted(bodies)
+    assert [(r["func"], r["op"], r["dt"], r["base"], r["off"]) for r in found] == [(f"f{k}", f"o{k}", ("qword", "int")[k % 3 == 0], "p", 0) for k in range(1000)]
+
+
+def test_functions_taken_together_learn_what_each_does(spark, monkeypatch):
+    """Against one function at a time: all opcodes, equal bodies, operations of one name, skipped variables, odd names, numbers beyond a long."""
+    import random
+
+    monkeypatch.setattr(interpreter, "SLICE", 5000)
+    monkeypatch.setattr(interpreter, "KEPT", 20000)
+    rng = random.Random(7)
+    opcodes = {"LOAD": 1, "STORE": 2, "RETURN": 1, "CALLIND": 1, "INT_ZEXT": 1, "COPY": 1, "SUBPIECE": 2, "PTRADD": 3, "CALL": 3, "MULTIEQUAL": 2}
+
+    def some(k):
+        names = ("p", 'q"\\', "\u00e4\U0001f600")
+        if k % 4 == 0:
+            return node(f"c{k}", value=rng.choice((4, 8, 0x2000, -8, 0)), space="const")
+        return node(f"v{k % 7}", rng.choice((4, 8)), rng.choice((None, None, *names)), rng.choice((None, "int")))
+
+    rows, bodies = [], []
+    for _ in range(40):
+        ops = []
+        for k in range(rng.randrange(0, 12)):
+            opcode = rng.choice(list(interpreter.HANDLERS))
+            ops.append((opcode, None if opcode in ("STORE", "RETURN", "CALLIND") else some(rng.randrange(1, 4)), [some(rng.randrange(20)) for _ in range(opcodes.get(opcode, 2))]))
+        bodies.append(ops)
+    huge = [("INT_MULT", node(f"m{k}"), [node(f"m{k - 1}" if k else "p", sym=None if k else "p"), node("c", value=0x2000, space="const")]) for k in range(8)]
+    bodies.append([*huge, ("LOAD", node("x"), [node("m7")]), ("INT_ADD", node("y"), [node("b", sym="b"), node("m7")]), ("LOAD", node("z"), [node("y")])])
+    for k in range(300):
+        for i, (opcode, out, ins) in enumerate(bodies[k % len(bodies)]):
+            name = None if k == 9 else "same" if k % 50 == 3 else f"f{k}.{i}"
+            rows.append((f"f{k}", i, name, opcode, out, ins))
+    skips = [("f5", "p"), ("f46", "p"), ("f7", 'q"\\')]
+    learnt, exprs = interpreter.interpret(spark.createDataFrame(rows, interpreter.OPS).repartition(7), spark.createDataFrame(skips, "func string, sym string"))
+    want, want_exprs = [], []
+    long = lambda v: v if v is None or abs(v) < 1 << 63 else None
+    for name in dict.fromkeys(r[0] for r in rows):
+        f = interpreter.Function(name, {s for g, s in skips if g == name})
+        struct = lambda v: v and dict(zip(NODE, v))
+        f.run([{"ord": r[1], "op": r[2], "opcode": r[3], "out": struct(r[4]), "ins": [struct(v) for v in r[5]]} for r in rows if r[0] == name])
+        want += f.learnt
+        want_exprs += [tuple(long(v) if isinstance(v, int) else v for v in interpreter.row(e, name).values()) for e in f.seen]
+    columns = ["func", "what", "a", "b", "op", "kind", "dt", "size", "n"]
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in learnt.select(columns).collect()) and len(want) > 1000
+    names = ["expr", "kind", "base", "idx", "scale", "off", "nested", "sym", "const", "root_sym", "func"]
+    assert sorted(map(repr, want_exprs)) == sorted(repr(tuple(r)) for r in exprs.select(names).collect())
+    # Fields as by a join with the expressions.
+    keyed = {e[0]: dict(zip(names, e)) for e in want_exprs}
+    fields = set()
+    for _, what, a, _, op, kind, *_ in want:
+        if what == "access" and keyed[a]["kind"] == "deref":
+            inner = keyed[keyed[a]["nested"]]
+            whole = inner["kind"] == "sum"
+            fields.add((inner["base"] if whole else inner["expr"], inner["off"] if whole else 0, a, op, kind, inner["scale"] if whole else 0))
+    got = interpreter.field_accesses(learnt, exprs).select("base", "offset", "field_expr", "op", "access_type", "scale").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, (x for x in fields if x[0] is not None))) and len(got) > 100
+
+
+def test_interpreted_fields_with_odd_keys(spark, tmp_path):
+    lines = [(k // 3 - 5, k % 7 + 1, 1.0) for k in range(200)] + [(1, 1, 2.0), (1, 1, 3.0), (None, 2, 1.0), (None, 5, 1.0), (2**62, 1, 1.0)]
+    con = tables(spark, tmp_path, lineitem=("l_orderkey long, l_linenumber int, l_quantity double", lines))
+    same_as_sql(spark, tmp_path, con, "interpreted_fields")
